@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality_rules, sharding
+from . import exact_dedup, mixing, quality_rules, sharding, token_counts
 from .common import text_of
 
 
@@ -39,6 +40,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_documents(_table(spark, sf_dir, "documents"), seed=29)
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -48,6 +54,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op6_quality_rules": op6_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
 }
 
