@@ -50,7 +50,11 @@ def stream_state(spark: SparkSession, path: str, digest=sha, batch_bytes: int =
     """(digest, keeper struct<doc_id, file, row>, n): the final state after the whole stream."""
     folder = shared_folder(spark, "dedup-stream")
     schema = spark.read.parquet(path).schema
-    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    settings = {
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    }
     with session_settings(spark, **settings):
         # as a pattern, the path may name one file as well as a folder
         pattern = f"{path[:-1]}[{path[-1]}]"
