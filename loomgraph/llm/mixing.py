@@ -17,7 +17,7 @@ from .common import small, text_of, word_count, written
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 HASH_DIGITS = 12
-DIGITS_A_LEVEL = 4
+DIGITS_A_LEVEL = 3
 #: A source's line in the threshold table has six numbers; so many of them are broadcast at most.
 BROADCAST_SOURCES = 50_000
 
