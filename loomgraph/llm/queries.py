@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, mixing, packing, quality_rules, sharding, token_counts
+from . import chat_format, exact_dedup, html_extract, mixing, packing, quality_rules, sharding, token_counts
 from .common import text_of
 
 
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 39 by the external shuffle; law ``rows``."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -65,6 +69,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extract": op1_html_extract,
     "op2_sharding": op2_sharding,
     "op3_chat_format": op3_chat_format,
     "op6_quality_rules": op6_quality_rules,
