@@ -215,6 +215,10 @@ LABELLED = (
     (8, 0.0, 2, 1.0, 120, 0.0, 0, 0, 1, 0, 1),
     (6, 0.0, 40, 0.0, 55, 0.0, 0, 0, 1, 0, 1),
     (14, 0.2, 25, 0.0, 40, 0.0, 0, 0, 0, 0, 1),
+    (60, 0.0, 40, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
+    (40, 0.0, 30, 0.0, 2, 1.0, 0, 0, 0, 0, 1),
+    (2, 0.0, 30, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
+    (25, 0.0, 0, 0.0, 1, 0.0, 0, 0, 0, 0, 1),
     (2, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 0),
     (1, 1.0, 2, 1.0, 1, 1.0, 0, 0, 0, 0, 0),
     (3, 1.0, 1, 1.0, 8, 0.0, 0, 0, 0, 0, 0),
