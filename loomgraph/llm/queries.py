@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, html_extract, mixing, packing, quality_rules, sharding, token_counts
+from . import chat_format, exact_dedup, html_extract, mixing, packing, quality_crf, quality_rules, sharding, token_counts
 from .common import text_of
 
 
@@ -44,6 +44,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(rows.unionByName(added), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op4_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.classify_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_left")
@@ -72,6 +76,7 @@ QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_sharding": op2_sharding,
     "op3_chat_format": op3_chat_format,
+    "op4_quality_crf": op4_quality_crf,
     "op6_quality_rules": op6_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
