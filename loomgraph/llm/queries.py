@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, html_extract, mixing, packing, quality_crf, quality_rules, sharding, token_counts
+from . import chat_format, exact_dedup, html_extract, jaccard_join, mixing, packing, quality_crf, quality_rules, sharding, token_counts
 from .common import text_of
 
 
@@ -48,6 +48,10 @@ def op4_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.classify_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_left")
@@ -77,6 +81,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_chat_format": op3_chat_format,
     "op4_quality_crf": op4_quality_crf,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_quality_rules": op6_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
