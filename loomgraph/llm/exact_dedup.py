@@ -110,3 +110,17 @@ def dedup_files(spark: SparkSession, path: str, digest=sha, batch_bytes: int = B
     keeper = F.coalesce("other", "keeper")
     size = F.coalesce("others", F.col("n") - F.coalesce("fewer", F.lit(0)))
     return out.select(F.col("at.doc_id").alias("doc_id"), "at", keeper["doc_id"].alias("keep_id"), size.cast("long").alias("group_size"), (F.col("at") == keeper).alias("kept"), "text_sha256")
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of documents(doc_id, text, ...) that stay, with all their columns: one of each text,
+    that of the largest doc_id. The rows are written to the shared folder and streamed from there."""
+    spark = docs.sparkSession
+    path = shared_folder(spark, "dedup-input")
+    docs.write.parquet(path)
+    found = dedup_files(spark, path)
+    place = F.xxhash64("at.file", "at.row")
+    dropped = written(found.filter("not kept").select(place.alias("__place")), "dedup-dropped")
+    rows = spark.read.schema(docs.schema).parquet(path)
+    placed = rows.withColumn("__place", F.xxhash64("_metadata.file_path", "_metadata.row_index"))
+    return placed.join(small(dropped, BROADCAST_HITS), "__place", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

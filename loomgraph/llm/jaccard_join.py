@@ -296,3 +296,15 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     named = labelled.join(smallest, "label").join(degree, "cls", "left").select("cls", "component_id", "n_links")
     out = sets.select("doc_id", "cls", "n").join(written(named, "named"), "cls", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of documents(doc_id, text, ...) that stay, with all their columns: of each component
+    the one with the smallest doc_id. Rows count each, so that repeated doc_ids do no harm."""
+    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "near-input")
+    found = jaccard_components(numbered.select(F.col("__row").alias("doc_id"), "text"), words, percent)
+    found = found.select(F.col("doc_id").alias("__row"), "component_id").join(numbered.select("__row", F.col("doc_id").alias("__id")), "__row")
+    found = written(found, "near-components")
+    stays = found.groupBy("component_id").agg(F.min(F.struct("__id", "__row")).alias("first")).select(F.col("first.__row").alias("__row"))
+    dropped = written(found.select("__row").join(stays, "__row", "left_anti"), "near-dropped")
+    return numbered.join(small(dropped, BROADCAST_ROWS), "__row", "left_anti").drop("__row")

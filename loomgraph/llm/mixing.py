@@ -57,13 +57,10 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS)
     return out.select("skey", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def mix_records(records: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """Adds source_size, target, copies, taken to records(skey string, h long, size long, ...).
-
-    ``copies`` is how often a record is taken, ``taken`` its words in the mix. Records whose hashes
-    tie at the threshold (repeated rows) share what is left of the budget in proportion to size; a
-    single record there is taken if that brings the source nearer its target.
-    """
+def mix_limits(records: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
+    """The threshold table of records(skey string, h long, size long): one line for each source, with
+    its size, its target, how often all its records are taken, and the hash below which they are
+    taken once more."""
     sizes = records.groupBy("skey").agg(F.sum("size").cast("long").alias("source_size"))
     plan = source_targets(sizes, weights, most)
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(1)
@@ -88,7 +85,16 @@ def mix_records(records: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS) -
         edge = edge.select("skey", F.col("x.bucket").alias("prefix"), F.col("x.rest").alias("rest"), F.col("x.inside").alias("inside"), F.col("x.rows").alias("rows"))
         edge = written(edge, "mix-edge")
     edge = edge.select("skey", F.col("prefix").alias("threshold"), F.col("rest").alias("edge_rest"), F.col("inside").alias("edge_size"), F.col("rows").alias("edge_rows"))
-    limits = written(plan.join(edge, "skey", "left"), "mix-limits")
+    return written(plan.join(edge, "skey", "left"), "mix-limits")
+
+
+def take_records(records: DataFrame, limits: DataFrame, most: int = MOST_REPEATS) -> DataFrame:
+    """Adds source_size, target, copies, taken to records(skey, h, size, ...).
+
+    ``copies`` is how often a record is taken, ``taken`` its words in the mix. Records whose hashes
+    tie at the threshold (repeated rows) share what is left of the budget in proportion to size; a
+    single record there is taken if that brings the source nearer its target.
+    """
     out = records.join(small(limits, BROADCAST_SOURCES), "skey")
     full = F.col("rest") > 0
     below = F.coalesce(F.col("h") < F.col("threshold"), full)
@@ -117,5 +123,17 @@ def mix_documents(docs: DataFrame, seed: int = 0, weights=WEIGHTS, most: int = M
     """
     records = docs.select("doc_id", source_key(F.col("source")).alias("skey"), record_hash(F.col("doc_id"), seed).alias("h"), word_count(text_of()).alias("size"))
     records = written(records, "mix-records")
-    out = mix_records(records, weights, most)
+    out = take_records(records, mix_limits(records, weights, most), most)
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def mixed_rows(docs: DataFrame, seed: int = 0, weights=WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
+    """The rows of the mix, with the columns of ``docs``: each row as often as it is taken.
+
+    The rows themselves are not shuffled; only (source, hash, size) of each is written for the
+    histograms. Edge cases as in mix_documents.
+    """
+    keyed = docs.select(source_key(F.col("source")).alias("skey"), record_hash(F.col("doc_id"), seed).alias("h"), word_count(text_of()).alias("size"), F.struct("*").alias("__row"))
+    limits = mix_limits(written(keyed.select("skey", "h", "size"), "mix-records"), weights, most)
+    taken = take_records(keyed, limits, most).filter("copies > 0")
+    return taken.select(F.explode(F.array_repeat("__row", F.col("copies"))).alias("__row")).select("__row.*")

@@ -7,7 +7,6 @@ lines' marginals, weighted by length.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -213,18 +212,30 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> Da
     """(doc_id, score) of documents(doc_id, text): a number from 0 to 1 for every row, the likelihood
     of quality label 1. Null texts and texts without a word score 0; repeated rows score alike; an
     empty table gives an empty result; other columns are ignored."""
-    weights, transitions = json.loads(json.dumps([model[0].tolist(), model[1].tolist()]))
+    weights, transitions = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, t = np.array(weights), np.array(transitions)
         for batch in batches:
-            scores = [document_scores(data, bounds, w, t) for _, _, data, bounds in text_slices(batch.column("text"))]
+            scores = [document_scores(data, bounds, weights, transitions) for _, _, data, bounds in text_slices(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64())], names=["doc_id", "score"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return plain.mapInArrow(run, "doc_id long, score double")
 
 
+def rows_of_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of documents(doc_id, text, ...) that score ``threshold`` or more, with all their columns."""
+    weights, transitions = fit(training_rows(docs, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [document_scores(data, bounds, weights, transitions) for _, _, data, bounds in text_slices(batch.column("text"))]
+            good = np.concatenate([np.zeros(0), *scores]) >= threshold
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) with a field trained on ``labels`` that are not held out."""
     scored = score_documents(docs, fit(training_rows(docs, labels)))
