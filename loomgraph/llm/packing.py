@@ -14,6 +14,7 @@ import os
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,37 +27,56 @@ BIN = 2048
 #: Pieces that are packed together, in one task's memory.
 GROUP_PIECES = 8192
 #: Words whose ids a worker remembers; then it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+class _Words(dict):
+    """Ids of words, as bytes, found out when they are first asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        if word[-1:] in (".", ",") and word[:-1].lower().isalpha():  # letters and marks are never merged
+            ids = self[word[:-1]] + self[word[-1]]
+        elif word.isalpha() and word.isascii() and not word.islower():
+            ids = self[word.lower()]
+        else:
+            ids = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, word by word.
 
-    For tokenizers that drop white space: no token and no special string spans a space or a line
-    break, so a text's ids are those of its words, and a word is encoded once.
+    For tokenizers that lower case and drop white space: no token and no special string spans a space
+    or a line break, so a text's ids are those of its words, and a word is encoded once.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        self.remembered, self.known = remembered, _Words(tokenizer.encode)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.known
-        if len(known) > REMEMBERED:
+        if len(known) > self.remembered:
             known.clear()
-        new = list(set().union(*split).difference(known)) if split else []
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        get = known.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
+
+
+@lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """One for all tasks of a Python worker, which come one after the other."""
+    return WordEncoder(path)
 
 
 def document_pieces(docs: DataFrame, tokenizer: str, most: int = BIN, end_id: int = 0) -> DataFrame:
@@ -67,7 +87,7 @@ def document_pieces(docs: DataFrame, tokenizer: str, most: int = BIN, end_id: in
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = word_encoder(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
