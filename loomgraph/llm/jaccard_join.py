@@ -34,8 +34,8 @@ from .text_arrays import mix, span_hashes, text_slices, words_of
 WORDS = 5
 PERCENT = 80
 MIN_HASHES = 4
-#: A token in so many documents of one slice of input is counted towards the frequent ones.
-SLICE_BYTES = 16 << 20
+#: A token in so many documents of one slice of a task's input is counted towards the frequent ones.
+SLICE_TOKENS = 3_000_000
 LEAST_IN_SLICE = 4
 FREQUENT = 64
 #: Frequent tokens that are put last, at most: 8 bytes each travel to every worker. The rest is
@@ -100,13 +100,21 @@ def frequent_tokens(docs: DataFrame, words: int) -> np.ndarray:
     counts over a small limit are summed over all slices. It only orders tokens; results don't
     depend on it."""
 
+    def frequent(sets: list[np.ndarray]) -> pa.RecordBatch:
+        token, n = np.unique(np.concatenate(sets), return_counts=True)
+        keep = n >= LEAST_IN_SLICE
+        return pa.RecordBatch.from_arrays([pa.array(_signed(token[keep])), pa.array(n[keep].astype(np.int64))], names=["token", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in batches:
-            for _, _, data, bounds in text_slices(batch.column("text"), SLICE_BYTES):
-                sets = shingle_hashes(data, bounds, words)
-                token, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                keep = n >= LEAST_IN_SLICE
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(token[keep])), pa.array(n[keep].astype(np.int64))], names=["token", "n"])
+            for _, _, data, bounds in text_slices(batch.column("text")):
+                held.append(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(data, bounds, words)]))
+                if sum(map(len, held)) >= SLICE_TOKENS:
+                    yield frequent(held)
+                    held = []
+        if held:
+            yield frequent(held)
 
     counts = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.filter(F.col("n") > FREQUENT).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token")
