@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Control strings as (first character, rest); no rest holds a first character.
 CONTROL = (("<", "|"), ("<", "s>"), ("<", "/s>"), ("[", "INST]"), ("[", "/INST]"))
@@ -173,7 +175,7 @@ def format_conversations(rows: DataFrame, tokenizer: str, trained_role: str = TR
         if held:
             yield flush(held)
 
-    return conversations_of(rows).mapInArrow(run, FORMATTED)
+    return in_arrow(conversations_of(rows), run, FORMATTED)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -198,4 +200,4 @@ def read_back(formatted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return formatted.mapInArrow(run, schema)
+    return in_arrow(formatted, run, schema)

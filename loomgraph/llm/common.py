@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows that travel to a Python worker at once; texts may be long.
+BATCH_ROWS = 1000
 WHITE = " \t\n\x0b\x0c\r"
 
 
@@ -45,6 +47,64 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that are needed until a result is written; ``drop`` deletes them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def folder(self, label: str) -> str:
+        self.paths.append(shared_folder(self.spark, label))
+        return self.paths[-1]
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        path = self.folder(label)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+        self.paths = []
+
+
+def in_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` with small batches; a task gives the memory it has freed back at its end, as
+    Python workers outlive tasks and stages."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) == 10_000:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow
+
+            gc.collect()
+            pyarrow.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return df.mapInArrow(run, schema)
+
+
+def source_folder(df: DataFrame) -> str | None:
+    """The one path that a DataFrame reads as Parquet and nothing else, or None."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return None
+    relation = plan.relation()
+    roots = relation.location().rootPaths()
+    plain = relation.partitionSchema().isEmpty() and relation.fileFormat().toString() == "Parquet"
+    return roots.head().toString() if plain and roots.size() == 1 else None
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """A broadcast hint if the (written) table has at most ``rows`` rows; else as it is, so that the
     join falls back to a shuffle. Callers pass tables of a few fixed-width columns."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch
 
 
 def _stars(edges: DataFrame, small: bool) -> DataFrame:
@@ -30,10 +30,13 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     Takes a number of rounds that grows with the logarithm of the size; each is a few joins on the
     shrinking links, written to the shared folder. Loops and repeated links don't matter.
     """
-    edges = written(edges.filter(F.col("u") != F.col("v")).select("u", "v").distinct(), "links")
+    scratch = Scratch(edges.sparkSession)
+    edges = scratch.written(edges.filter(F.col("u") != F.col("v")).select("u", "v").distinct(), "links")
     state = None
     for _ in range(most_rounds):
-        edges = written(_stars(_stars(edges, small=False), small=True), "links")
+        before, scratch = scratch, Scratch(edges.sparkSession)
+        edges = scratch.written(_stars(_stars(edges, small=False), small=True), "links")
+        before.drop()
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == state:
             break

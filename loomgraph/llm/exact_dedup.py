@@ -15,7 +15,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder, small, text_of, written
+from .common import Scratch, shared_folder, small, source_folder, text_of, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Bytes of input files that one micro-batch takes.
@@ -46,9 +46,9 @@ def _located(df: DataFrame, digest) -> DataFrame:
     return df.select(digest(text).alias("digest"), at.alias("at"), text.alias("text"))
 
 
-def stream_state(spark: SparkSession, path: str, digest=sha, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """(digest, keeper struct<doc_id, file, row>, n): the final state after the whole stream."""
-    folder = shared_folder(spark, "dedup-stream")
+def stream_state(spark: SparkSession, path: str, folder: str, digest=sha, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """(digest, keeper struct<doc_id, file, row>, n): the final state after the whole stream, whose
+    checkpoint and log are in ``folder``."""
     schema = spark.read.parquet(path).schema
     settings = {
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
@@ -86,12 +86,13 @@ def dedup_files(spark: SparkSession, path: str, digest=sha, batch_bytes: int = B
     doc_id stays; rows that also share that doc_id tie, and the one with the last locator stays. A
     null doc_id is the smallest. An empty table gives an empty result.
     """
-    state = written(stream_state(spark, path, digest, batch_bytes), "dedup-state")
+    scratch = Scratch(spark)
+    state = written(stream_state(spark, path, scratch.folder("dedup-stream"), digest, batch_bytes), "dedup-state")
     rows = _located(spark.read.parquet(path), digest)
     prefix = F.xxhash64("digest")
-    hits = written(state.filter("n > 1").select("digest", F.col("keeper").alias("stays")), "dedup-hits")
+    hits = scratch.written(state.filter("n > 1").select("digest", F.col("keeper").alias("stays")), "dedup-hits")
     chosen = rows.withColumn("prefix", prefix).join(small(hits.select(prefix.alias("prefix")).distinct(), broadcast_hits), "prefix", "left_semi").drop("prefix")
-    chosen = written(chosen.join(hits, "digest"), "dedup-candidates")
+    chosen = scratch.written(chosen.join(hits, "digest"), "dedup-candidates")
     originals = chosen.filter(F.col("at") == F.col("stays")).select("digest", F.col("text").alias("stored"))
     compared = chosen.join(originals, "digest").select("digest", "at", F.col("text") == F.col("stored"), F.when(F.col("text") != F.col("stored"), F.col("text")))
     compared = written(compared.toDF("digest", "at", "same", "text"), "dedup-compared")
@@ -102,6 +103,8 @@ def dedup_files(spark: SparkSession, path: str, digest=sha, batch_bytes: int = B
     same = rows.select("digest", "at", F.sha2("text", 256).alias("text_sha256")) if digest is not sha else rows.select("digest", "at", F.lower(F.hex("digest")).alias("text_sha256"))
     differing = written(differ.join(regrouped, ["digest", "text"]).select("at", F.col("other"), F.col("others")), "dedup-differing")
     out = same.join(state, "digest")
+    fewer = written(fewer, "dedup-fewer")
+    scratch.drop()
     if differing.limit(1).count():
         out = out.join(fewer, "digest", "left").join(differing, "at", "left")
     else:
@@ -114,10 +117,13 @@ def dedup_files(spark: SparkSession, path: str, digest=sha, batch_bytes: int = B
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """The rows of documents(doc_id, text, ...) that stay, with all their columns: one of each text,
-    that of the largest doc_id. The rows are written to the shared folder and streamed from there."""
+    that of the largest doc_id. Rows that aren't a Parquet table are written to the shared folder, and
+    streamed from there."""
     spark = docs.sparkSession
-    path = shared_folder(spark, "dedup-input")
-    docs.write.parquet(path)
+    path = source_folder(docs)
+    if path is None:
+        path = shared_folder(spark, "dedup-input")
+        docs.write.parquet(path)
     found = dedup_files(spark, path)
     place = F.xxhash64("at.file", "at.row")
     dropped = written(found.filter("not kept").select(place.alias("__place")), "dedup-dropped")

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 # Element names of HTML.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -301,4 +303,4 @@ def extract_pages(pages: DataFrame, html: str = "html", labelled=LABELLED) -> Da
             )
 
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col(html).cast("string").alias("html"))
-    return plain.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return in_arrow(plain, run, "page_id long, url string, text string, n_chars long")

@@ -2,7 +2,7 @@
 
 A document's tokens are the hashes of its word shingles. Documents with the same set are one class.
 Classes are partitioned into groups of similar ones: classes that share a min-hash are compared with
-the first of them, and verified links make the groups. The matrix has, for every token, the groups
+one of them, and verified links make the groups. The matrix has, for every token, the groups
 whose token union holds it; each class queries it with its tokens. A class can have a partner in a
 group only if
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import Scratch, in_arrow, small, written
 from .components import components
 from .text_arrays import mix, span_hashes, text_slices, words_of
 
@@ -116,27 +116,28 @@ def frequent_tokens(docs: DataFrame, words: int) -> np.ndarray:
         if held:
             yield frequent(held)
 
-    counts = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = in_arrow(docs.select("text"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.filter(F.col("n") > FREQUENT).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token")
     return np.sort(np.array([r[0] for r in top.collect()], np.int64).view(np.uint64))
 
 
-SETS = "doc_id long, cls long, n int, prefix array<long>, minima array<long>, sketch array<long>"
+SETS = "doc_id long, cls long, n int, rare int, prefix array<long>, minima array<long>, sketch array<long>"
 
 
 def document_sets(docs: DataFrame, words: int, percent: int, last: np.ndarray) -> DataFrame:
-    """(doc_id, cls, n, prefix, minima, sketch) of documents(doc_id, text): the set's number, size,
-    prefix tokens, min-hashes and sketch; cls is null for an empty set."""
+    """(doc_id, cls, n, rare, prefix, minima, sketch) of documents(doc_id, text): the set's number, size,
+    infrequent tokens, prefix tokens, min-hashes and sketch; cls is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, bounds in text_slices(batch.column("text")):
-                cls, sizes, prefixes, minima, sketches = [], [], [], [], []
+                cls, sizes, rare, prefixes, minima, sketches = [], [], [], [], [], []
                 for tokens in shingle_hashes(data, bounds, words):
                     n = len(tokens)
                     sizes.append(n)
                     if not n:
                         cls.append(None)
+                        rare.append(0)
                         prefixes.append(None)
                         minima.append(None)
                         sketches.append(None)
@@ -145,19 +146,21 @@ def document_sets(docs: DataFrame, words: int, percent: int, last: np.ndarray) -
                         minima.append(np.sort(_signed(np.array([np.min(mix(tokens ^ _ODD[k])) + _ODD[k] for k in range(MIN_HASHES)], np.uint64))))
                     cls.append(set_number(tokens))
                     k = n - least_overlap(n, percent) + 1
-                    ordered = tokens
+                    ordered, infrequent = tokens, n
                     if len(last):
                         at = np.searchsorted(last, tokens)
                         frequent = last[np.minimum(at, len(last) - 1)] == tokens
-                        if frequent.any():
+                        infrequent = n - int(frequent.sum())
+                        if infrequent < n:
                             ordered = np.concatenate([tokens[~frequent], tokens[frequent]])
+                    rare.append(infrequent)
                     prefixes.append(_signed(ordered[:k].copy()))
                     sketches.append(sketch(tokens))
                 longs = pa.list_(pa.int64())
-                arrays = [pa.array(cls, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, longs), pa.array(minima, longs), pa.array(sketches, longs)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *arrays], names=["doc_id", "cls", "n", "prefix", "minima", "sketch"])
+                arrays = [pa.array(cls, pa.int64()), pa.array(sizes, pa.int32()), pa.array(rare, pa.int32()), pa.array(prefixes, longs), pa.array(minima, longs), pa.array(sketches, longs)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *arrays], names=["doc_id", "cls", "n", "rare", "prefix", "minima", "sketch"])
 
-    return docs.mapInArrow(run, SETS)
+    return in_arrow(docs, run, SETS)
 
 
 def _may_differ(n: Column, m: Column, percent: int) -> Column:
@@ -177,23 +180,22 @@ def _differing(a: Column, b: Column) -> Column:
     return F.aggregate(pair, F.lit(0), lambda s, x: s + x)
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int, label: str) -> DataFrame:
-    """Of pairs(a, b) of classes those that are links, as edges(u, v)."""
-    light = reps.select("cls", "n", "sketch")
-    left = light.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    right = light.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch, label: str) -> DataFrame:
+    """Of pairs(a, b) of representatives' rows those that are links, as edges(u, v)."""
+    light = reps.select("row", "cls", "n", "sketch")
+    left = light.select(F.col("row").alias("a"), F.col("cls").alias("ca"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = light.select(F.col("row").alias("b"), F.col("cls").alias("cb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     near = pairs.join(left, "a").join(right, "b")
     sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    near = near.filter(sizes).filter(_differing(F.col("sa"), F.col("sb")) <= _may_differ(F.col("na"), F.col("nb"), percent)).select("a", "b", "na", "nb")
-    near = written(near, f"{label}-near")
-    involved = near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls"))).distinct()
-    involved = written(involved.join(reps.select("cls", "doc_id"), "cls").select("doc_id").distinct(), f"{label}-involved")
-    wanted = small(involved, BROADCAST_ROWS)
-    # a repeated doc_id may bring other texts along: their classes tell
-    sets = written(_class_sets(docs.join(wanted, "doc_id", "left_semi"), words), f"{label}-sets").dropDuplicates(["cls"])
-    both = near.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    return written(both.withColumn("shared", shared).filter(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select(F.col("a").alias("u"), F.col("b").alias("v")), f"{label}-links")
+    near = near.filter(sizes).filter(_differing(F.col("sa"), F.col("sb")) <= _may_differ(F.col("na"), F.col("nb"), percent)).select("a", "b", "ca", "cb", "na", "nb")
+    near = scratch.written(near, f"{label}-near")
+    involved = near.select(F.col("a").alias("row")).unionByName(near.select(F.col("b").alias("row"))).distinct()
+    wanted = scratch.written(involved.join(reps.select("row", "doc_id"), "row").select("doc_id").distinct(), f"{label}-involved")
+    # a repeated doc_id may bring other texts along: the numbers of their sets tell
+    sets = scratch.written(_class_sets(docs.join(small(wanted, BROADCAST_ROWS), "doc_id", "left_semi"), words), f"{label}-sets").dropDuplicates(["cls"])
+    both = near.join(sets.select(F.col("cls").alias("ca"), F.col("tokens").alias("ta")), "ca").join(sets.select(F.col("cls").alias("cb"), F.col("tokens").alias("tb")), "cb")
+    both = both.withColumn("shared", F.size(F.array_intersect("ta", "tb"))).filter(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared")))
+    return scratch.written(both.select(F.col("a").alias("u"), F.col("b").alias("v")), f"{label}-links")
 
 
 def _class_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -207,7 +209,7 @@ def _class_sets(docs: DataFrame, words: int) -> DataFrame:
                         sets.append(_signed(tokens))
                 yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "tokens"])
 
-    return docs.select("text").mapInArrow(run, "cls long, tokens array<long>")
+    return in_arrow(docs.select("text"), run, "cls long, tokens array<long>")
 
 
 def _row_pairs(n: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -223,7 +225,7 @@ def _row_pairs(n: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.nda
 
 
 def candidate_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """(a, b) from the matrix's entries(token, cls, n, place, grp): pairs of classes of
+    """(a, b) from the matrix's entries(token, node, n, place, grp): pairs of classes of
     different groups that share the token and whose places and sizes leave room for the overlap.
 
     A pair that links is formed at its first common token at least. There, all tokens before the two
@@ -234,7 +236,7 @@ def candidate_pairs(entries: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: np.ndarray | None = None  # the row that may go on in the next batch
         for batch in batches:
-            part = np.stack([np.asarray(batch.column(x).cast(pa.int64())) for x in ("token", "cls", "n", "place", "grp")])
+            part = np.stack([np.asarray(batch.column(x).cast(pa.int64())) for x in ("token", "node", "n", "place", "grp")])
             part = part if rest is None else np.concatenate([rest, part], 1)
             if not part.shape[1]:
                 continue
@@ -246,7 +248,7 @@ def candidate_pairs(entries: DataFrame, percent: int) -> DataFrame:
             yield from rows(rest)
 
     def rows(part: np.ndarray) -> Iterator[pa.RecordBatch]:
-        token, cls, n, place, grp = part
+        token, node, n, place, grp = part
         start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         length = np.diff(np.concatenate([start, [len(token)]]))
         for size in np.unique(length[length > 1]).tolist():
@@ -259,10 +261,11 @@ def candidate_pairs(entries: DataFrame, percent: int) -> DataFrame:
                     fit = (grp[x] != grp[y]) & (100 * less >= percent * more) & ((place[x] + place[y]) * (100 + percent) <= both * (100 - percent))
                     x, y = x[fit], y[fit]
                     if len(x):
-                        a, b = np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])
+                        a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
                         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return entries.repartition("token").sortWithinPartitions("token").select("token", "cls", "n", "place", "grp").mapInArrow(run, "a long, b long")
+    dealt = entries.repartition("token").sortWithinPartitions("token").select("token", "node", "n", "place", "grp")
+    return in_arrow(dealt, run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -276,43 +279,57 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     unless alone; an empty table gives an empty result; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scratch = Scratch(docs.sparkSession)
     last = frequent_tokens(docs, words)
-    sets = written(document_sets(docs, words, percent, last).withColumn("row", F.monotonically_increasing_id()), "sets")
-    # one row stands for a class; the others are told by their numbers
-    classes = written(sets.filter("n > 0").groupBy("cls").agg(F.min("row").alias("rep"), F.min("doc_id").alias("first_doc")), "classes")
+    sets = scratch.written(document_sets(docs, words, percent, last).withColumn("row", F.monotonically_increasing_id()), "sets")
+    # one row stands for a class
+    classes = scratch.written(sets.filter("n > 0").groupBy("cls").agg(F.min("row").alias("rep"), F.min("doc_id").alias("first_doc")), "classes")
     doubles = sets.filter("n > 0").join(classes.select("cls", "rep"), "cls").filter("row != rep").select("row")
-    reps = written(sets.filter("n > 0").join(small(written(doubles, "doubles"), BROADCAST_ROWS), "row", "left_anti"), "representatives")
-
-    # groups: every class against the first one with the same min-hash
-    keys = reps.select("cls", F.explode("minima").alias("key"))
-    pivots = keys.groupBy("key").agg(F.min("cls").alias("a"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("key", "a")
-    star = keys.join(pivots, "key").filter("cls != a").select("a", F.col("cls").alias("b")).distinct()
-    first_links = _verified(star, reps, docs, words, percent, "star")
-    groups = written(components(first_links).withColumnRenamed("node", "cls").withColumnRenamed("label", "grp"), "groups")
+    reps = sets.filter("n > 0").join(small(scratch.written(doubles, "doubles"), BROADCAST_ROWS), "row", "left_anti")
+
+    # groups: every class against one of those with the same min-hash, that with the fewest tokens of
+    # its own: what a set of near copies was copied from has hardly any, and links with all of them
+    keys = reps.select("row", "rare", F.explode("minima").alias("key"))
+    pivots = keys.groupBy("key").agg(F.min(F.struct("rare", "row")).alias("a"), F.count(F.lit(1)).alias("rows"))
+    pivots = pivots.filter("rows > 1").select("key", F.col("a.row").alias("a"))
+    star = keys.join(pivots, "key").filter("row != a").select(F.least("a", "row").alias("a"), F.greatest("a", "row").alias("b"))
+    star = scratch.written(star, "star").distinct()
+    first_links = _verified(star, reps, docs, words, percent, scratch, "star")
+    groups = components(first_links).withColumnRenamed("node", "row").withColumnRenamed("label", "grp")
 
     # the token-group matrix, queried by every class
-    grouped = reps.select("cls", "n", "prefix").join(groups, "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
-    entries = grouped.select("cls", "n", "grp", F.posexplode("prefix").alias("place", "token"))
-    opened = written(candidate_pairs(entries, percent).distinct(), "opened")
-    links = first_links.unionByName(_verified(opened, reps, docs, words, percent, "opened"))
-
-    labels = components(links).withColumnRenamed("node", "cls")
-    labelled = classes.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    labelled = written(labelled.select("cls", "label", "first_doc"), "labelled")
+    grouped = reps.select("row", "n", "prefix").join(groups, "row", "left").withColumn("grp", F.coalesce("grp", "row"))
+    entries = grouped.select(F.col("row").alias("node"), "n", "grp", F.posexplode("prefix").alias("place", "token"))
+    opened = scratch.written(candidate_pairs(entries, percent).distinct(), "opened")
+    links = first_links.unionByName(_verified(opened, reps, docs, words, percent, scratch, "opened"))
+
+    labels = components(links).withColumnRenamed("node", "rep")
+    labelled = classes.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    labelled = scratch.written(labelled.select("cls", "rep", "label", "first_doc"), "labelled")
     smallest = labelled.groupBy("label").agg(F.min("first_doc").alias("component_id"))
-    degree = links.select(F.col("u").alias("cls")).unionByName(links.select(F.col("v").alias("cls"))).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
-    named = labelled.join(smallest, "label").join(degree, "cls", "left").select("cls", "component_id", "n_links")
-    out = sets.select("doc_id", "cls", "n").join(written(named, "named"), "cls", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    degree = links.select(F.col("u").alias("rep")).unionByName(links.select(F.col("v").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    named = scratch.written(labelled.join(smallest, "label").join(degree, "rep", "left").select("cls", "component_id", "n_links"), "named")
+    out = sets.select("doc_id", "cls", "n").join(named, "cls", "left")
+    out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = written(out, "components")
+    scratch.drop()
+    return out
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of documents(doc_id, text, ...) that stay, with all their columns: of each component
     the one with the smallest doc_id. Rows count each, so that repeated doc_ids do no harm."""
-    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "near-input")
-    found = jaccard_components(numbered.select(F.col("__row").alias("doc_id"), "text"), words, percent)
-    found = found.select(F.col("doc_id").alias("__row"), "component_id").join(numbered.select("__row", F.col("doc_id").alias("__id")), "__row")
-    found = written(found, "near-components")
-    stays = found.groupBy("component_id").agg(F.min(F.struct("__id", "__row")).alias("first")).select(F.col("first.__row").alias("__row"))
-    dropped = written(found.select("__row").join(stays, "__row", "left_anti"), "near-dropped")
-    return numbered.join(small(dropped, BROADCAST_ROWS), "__row", "left_anti").drop("__row")
+    keyed = docs
+    if docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count():
+        keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()), "near-input")
+    key = "__row" if keyed is not docs else "doc_id"
+    found = jaccard_components(keyed.select(F.col(key).alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias("__key"), "component_id")
+    if keyed is not docs:
+        found = found.join(keyed.select(F.col("__row").alias("__key"), F.col("doc_id").alias("__id")), "__key")
+        stays = found.groupBy("component_id").agg(F.min(F.struct("__id", "__key")).alias("first")).select(F.col("first.__key").alias("__key"))
+        dropped = found.select("__key").join(stays, "__key", "left_anti")
+    else:
+        dropped = found.filter("__key != component_id").select("__key")
+    dropped = written(dropped.withColumnRenamed("__key", key), "near-dropped")
+    out = keyed.join(small(dropped, BROADCAST_ROWS), key, "left_anti")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

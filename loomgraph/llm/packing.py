@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shards_for, written
+from .common import in_arrow, shards_for, written
 
 BIN = 2048
 #: Pieces that are packed together, in one task's memory.
@@ -73,13 +73,13 @@ class WordEncoder:
         return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
 
 
-@lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
+@lru_cache(maxsize=1)
+def word_encoder(path: str, remembered: int) -> WordEncoder:
     """One for all tasks of a Python worker, which come one after the other."""
-    return WordEncoder(path)
+    return WordEncoder(path, remembered)
 
 
-def document_pieces(docs: DataFrame, tokenizer: str, most: int = BIN, end_id: int = 0) -> DataFrame:
+def document_pieces(docs: DataFrame, tokenizer: str, most: int = BIN, end_id: int = 0, remembered: int = REMEMBERED) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, ids binary) of documents(doc_id, text).
 
     Null and empty texts are the end id alone; repeated rows give their pieces each; other columns are
@@ -87,7 +87,7 @@ def document_pieces(docs: DataFrame, tokenizer: str, most: int = BIN, end_id: in
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(tokenizer)
+        encoder = word_encoder(tokenizer, remembered)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -104,7 +104,7 @@ def document_pieces(docs: DataFrame, tokenizer: str, most: int = BIN, end_id: in
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(cut, PIECE + ", ids binary")
+    return in_arrow(plain, cut, PIECE + ", ids binary")
 
 
 class _Bins:
@@ -251,18 +251,18 @@ def pack_pieces(pieces: DataFrame, seed: int = 0, size: int = BIN, group_pieces:
         if held:
             yield from flush()
 
-    packed = dealt.repartition(groups, "__group").sortWithinPartitions("__group").mapInArrow(pack, schema)
+    packed = in_arrow(dealt.repartition(groups, "__group").sortWithinPartitions("__group"), pack, schema)
     # full pieces get negative numbers of their own
     own = -1 - F.monotonically_increasing_id()
     return packed.unionByName(whole.withColumn("sequence_id", own))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, seed: int = 0, size: int = BIN, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, seed: int = 0, size: int = BIN, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]) of documents(doc_id, text).
 
     Each row is a piece and its place in the packed sequences; see document_pieces and pack_pieces.
     Without ``with_ids`` only the pieces' lengths and checksums travel, not the ids.
     """
-    pieces = document_pieces(docs, tokenizer, size)
+    pieces = document_pieces(docs, tokenizer, size, remembered=remembered)
     pieces = written(pieces if with_ids else pieces.drop("ids"), "pieces")
     return pack_pieces(pieces, seed, size)

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
 from .text_arrays import span_hashes, text_slices, words_of
 
 #: Documents that the field is trained on at most, and lines of each.
@@ -187,7 +188,7 @@ def fit(labelled: DataFrame, documents: int = TRAINING_DOCUMENTS, lines: int = T
                 parts = [part.astype("<f4").tobytes() for part in np.split(x, start[1:])] if len(found) else []
                 yield pa.RecordBatch.from_arrays([pa.array([int(labels[lo + r]) for r in found], pa.int32()), pa.array(parts, pa.binary())], names=["label", "features"])
 
-    rows = labelled.mapInArrow(run, "label int, features binary").collect()
+    rows = in_arrow(labelled, run, "label int, features binary").collect()
     if not rows:
         return np.zeros(len(FEATURES)), np.zeros((2, 2))
     rows.sort(key=lambda r: bytes(r["features"]))
@@ -220,7 +221,7 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> Da
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64())], names=["doc_id", "score"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(run, "doc_id long, score double")
+    return in_arrow(plain, run, "doc_id long, score double")
 
 
 def rows_of_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -233,7 +234,7 @@ def rows_of_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRES
             good = np.concatenate([np.zeros(0), *scores]) >= threshold
             yield batch.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
 
 
 def classify_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

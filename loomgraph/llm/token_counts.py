@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 #: Characters that are encoded at once.
 CHUNK_CHARS = 65_536
 OVERLAP_CHARS = 512
@@ -147,4 +149,5 @@ def token_counts(docs: DataFrame, tokenizer: str, chunk: int = CHUNK_CHARS, over
                 names=["doc_id", "n_bytes", "n_tokens"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(count, schema)
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return in_arrow(plain, count, schema)

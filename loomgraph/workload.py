@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .session import GraphSession
 from .sources.relational import commerce_graph
+from .sparql import Mapping
 
 #: name -> (GQL, SQL)
 GQL: dict[str, tuple[str, str]] = {}
@@ -156,9 +157,70 @@ _add("nearest_per_anchor", "MATCH (w:Vec {label: 1}), (v:Vec {label: 2}) NEAREST
 _add("events_per_customer", "MATCH (c:Customer)-[:DID]->(e:Event) RETURN c.mktsegment AS s, e.type AS t, COUNT(*) AS n, ROUND(SUM(e.value)) AS v GROUP BY c.mktsegment, e.type", "SELECT c_mktsegment AS s, event_type AS t, count(*) AS n, round(sum(value)) AS v FROM events JOIN customer ON c_custkey = user_id GROUP BY 1, 2")
 
 
+#: name -> (statements, final query, SQL of the state after them)
+CHANGES: dict[str, tuple[list[str], str, str]] = {
+    "insert_then_match": (
+        ["INSERT (:Note {text: 'new', size: 1})", "MATCH (n:Nation)-[:IN_REGION]->(r:Region {name: 'EUROPE'}) INSERT (n)-[:HAS_NOTE {at: n.key * 2}]->(:Note {text: n.name})"],
+        "MATCH (x:Note) OPTIONAL MATCH (n:Nation)-[h:HAS_NOTE]->(x) RETURN x.text AS text, x.size AS size, n.key AS n, h.at AS at",
+        "SELECT 'new' AS text, 1::BIGINT AS size, NULL::BIGINT AS n, NULL::BIGINT AS at UNION ALL SELECT n_name, NULL, n_nationkey, n_nationkey * 2 FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'EUROPE'",
+    ),
+    "set_remove": (
+        ["MATCH (n:Nation)<-[:IN_NATION]-(s:Supplier) WHERE s.acctbal < 5000 SET n.risk = 1, n:Risky", "MATCH (n:Nation) WHERE n.key > 20 REMOVE n.name"],
+        "MATCH (n:Nation) RETURN n.key AS k, n.name AS name, n.risk AS risk, EXISTS { MATCH (n:Risky) } AS flag",
+        """SELECT n_nationkey::BIGINT AS k, CASE WHEN n_nationkey <= 20 THEN n_name END AS name, CASE WHEN bad THEN 1::BIGINT END AS risk, bad AS flag
+           FROM (SELECT *, EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal < 5000) AS bad FROM nation)""",
+    ),
+    "detach_delete": (
+        ["MATCH (n:Nation) WHERE MOD(n.key, 2) = 0 DETACH DELETE n"],
+        "MATCH (n:Nation) OPTIONAL MATCH (n)<-[:IN_NATION]-(c:Customer) RETURN n.key AS k, COUNT(c) AS n GROUP BY n",
+        "SELECT n_nationkey::BIGINT AS k, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey % 2 = 1 GROUP BY n_nationkey",
+    ),
+}
+
+#: name -> (SPARQL, SQL)
+SPARQL: dict[str, tuple[str, str]] = {
+    "sparql_bgp": (
+        "SELECT ?c ?n WHERE { ?c a <Customer> . ?c <IN_NATION> ?nat . ?nat <IN_REGION> ?r . ?c <acctbal> ?b . ?nat <name> ?n . ?r <name> 'ASIA' FILTER(?b > 9000) }",
+        "SELECT c_custkey AS c, n_name AS n FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'ASIA' AND c_acctbal > 9000",
+    ),
+    "sparql_optional_filter": (
+        "SELECT ?c (COUNT(?o) AS ?n) WHERE { ?c a <Customer> OPTIONAL { ?c <PLACED> ?o . ?o <totalprice> ?t FILTER(?t > 450000 || ?t < 5000) } } GROUP BY ?c ORDER BY DESC(?n) ?c",
+        "SELECT c_custkey AS c, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND (o_totalprice > 450000 OR o_totalprice < 5000) GROUP BY c_custkey",
+    ),
+    "sparql_property_path": (
+        "SELECT DISTINCT ?b WHERE { ?a <name> 'NATION_3' . ?a a <Nation> . ?a <ROUTE>/^<ROUTE> ?b }",
+        f"SELECT DISTINCT y.a AS b FROM {_ROUTE} x JOIN {_ROUTE} y ON x.b = y.b WHERE x.a = 3",
+    ),
+    "sparql_closure": (
+        "SELECT (COUNT(*) AS ?n) WHERE { ?a a <Nation> . ?a <ROUTE>+ ?b . ?a <name> 'NATION_4' }",
+        "SELECT 25::BIGINT AS n",
+    ),
+}
+
+
+def _changed(statements: list[str], final: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        session = GraphSession(spark, commerce_graph(spark, folder))
+        for s in statements:
+            session.execute(s)
+        return session.execute(final)
+
+    return run
+
+
+def _sparql(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        properties = frozenset(("name", "acctbal", "totalprice", "mktsegment", "status"))
+        return GraphSession(spark, commerce_graph(spark, folder)).query_sparql(text, Mapping(True, "key", True, None, properties))
+
+    return run
+
+
 def _query(gql: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, folder: GraphSession(spark, commerce_graph(spark, folder)).execute(gql)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(gql) for name, (gql, _) in GQL.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in GQL.items()}
+QUERIES |= {name: _changed(statements, final) for name, (statements, final, _) in CHANGES.items()} | {name: _sparql(text) for name, (text, _) in SPARQL.items()}
+ORACLE_SQL |= {name: sql for name, (_, _, sql) in CHANGES.items()} | {name: sql for name, (_, sql) in SPARQL.items()}
