@@ -17,7 +17,7 @@ HELP = ".schema .graph-types .indexes .save .dump-json PATH .dump-gql PATH .limi
 
 
 class Shell:
-    def __init__(self, session: GraphSession, out=sys.stdout):
+    def __init__(self, session: GraphSession, out=None):
         self.session, self.out, self.limit = session, out, 100
 
     def say(self, text: object) -> None:

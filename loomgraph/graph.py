@@ -88,11 +88,30 @@ def node_id(code: int, key):
     return F.lit(code << CODE_BITS) + key.cast("long")
 
 
+def is_mixed(t: T.DataType) -> bool:
+    return isinstance(t, T.StructType) and t.names == MIXED.names
+
+
+def normal(t: T.DataType) -> T.DataType:
+    """The type without what says that values are never null, and numbers at their full width."""
+    if isinstance(t, (T.IntegerType, T.ShortType, T.ByteType)):
+        return T.LongType()
+    if isinstance(t, T.FloatType):
+        return T.DoubleType()
+    if isinstance(t, T.TimestampType):
+        return T.TimestampNTZType()
+    if isinstance(t, T.ArrayType):
+        return T.ArrayType(normal(t.elementType))
+    if isinstance(t, T.StructType):
+        return MIXED if is_mixed(t) else T.StructType([T.StructField(f.name, normal(f.dataType)) for f in t.fields])
+    return t
+
+
 def unified(types: Iterable[T.DataType]) -> T.DataType:
     """The type that holds all of these: the same, a wider number, or MIXED."""
     found: list[T.DataType] = []
     for t in types:
-        t = T.LongType() if isinstance(t, (T.IntegerType, T.ShortType, T.ByteType)) else T.DoubleType() if isinstance(t, T.FloatType) else t
+        t = normal(t)
         if not isinstance(t, T.NullType) and t not in found:
             found.append(t)
     return found[0] if len(found) == 1 else MIXED if found else T.NullType()
@@ -100,17 +119,17 @@ def unified(types: Iterable[T.DataType]) -> T.DataType:
 
 def as_type(column, have: T.DataType, want: T.DataType):
     """The column as ``want``: itself, or wrapped as a MIXED value with its kind."""
-    if want == MIXED and have != MIXED:
+    if is_mixed(want) and not is_mixed(have):
         kind = kind_of(have)
         slot = MIXED_FIELD.get(kind, "j")
         value = column if slot != "j" else F.to_json(column)
         fields = [F.lit(kind).alias("kind"), *[(value.cast(f.dataType) if f.name == slot else F.lit(None).cast(f.dataType)).alias(f.name) for f in MIXED.fields[1:]]]
         return F.when(column.isNotNull(), F.struct(*fields))
-    return column.cast(want) if have != want else column
+    return column if normal(have) == normal(want) and have == want else column.cast(want)
 
 
 def kind_of(t: T.DataType) -> str:
-    if t == MIXED:
+    if is_mixed(t):
         return "mixed"
     match t:
         case T.LongType() | T.IntegerType() | T.ShortType() | T.ByteType():

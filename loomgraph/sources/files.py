@@ -97,7 +97,7 @@ def graph_from_elements(spark: SparkSession, nodes: DataFrame, edges: DataFrame)
     parsed = lambda df: df.withColumn("__labels", F.array_sort(F.coalesce("labels", F.array().cast("array<string>")))).withColumn("__v", F.expr("parse_json(coalesce(props, '{}'))"))
     nodes = _numbered(nodes.select(F.col("id").alias(NAME), "labels", "props"), g.next_code(), ID)
     for k, (labels, schema, rows) in enumerate(_by_labels(parsed(nodes).select(ID, NAME, "__labels", "__v"))):
-        g.nodes.append(NodeTable(f"n{k}:{'&'.join(sorted(labels))}", labels, _typed_props(rows, schema)))
+        g.nodes.append(NodeTable(f"n{k}:{'&'.join(sorted(labels))}", labels, written(_typed_props(rows, schema), "nodes")))
     names = nodes.select(NAME, ID)
     ends = edges.select(F.col("id").alias(NAME), "labels", "props", F.get("endpoints", F.lit(0)).alias("__a"), F.get("endpoints", F.lit(1)).alias("__b"), (F.col("directionality") != "~~").alias("__directed"))
     ends = ends.join(names.select(F.col(NAME).alias("__a"), F.col(ID).alias(SRC)), "__a").join(names.select(F.col(NAME).alias("__b"), F.col(ID).alias(DST)), "__b").drop("__a", "__b")
@@ -105,7 +105,7 @@ def graph_from_elements(spark: SparkSession, nodes: DataFrame, edges: DataFrame)
     rows = parsed(ends).select(EID, SRC, DST, NAME, "__labels", "__v", "__directed")
     for directed in (True, False):
         for k, (labels, schema, part) in enumerate(_by_labels(rows.filter(F.col("__directed") == directed).drop("__directed"))):
-            g.edges.append(EdgeTable(f"e{k}{'>' if directed else '~'}:{'&'.join(sorted(labels))}", labels, _typed_props(part, schema), directed))
+            g.edges.append(EdgeTable(f"e{k}{'>' if directed else '~'}:{'&'.join(sorted(labels))}", labels, written(_typed_props(part, schema), "edges"), directed))
     return g
 
 

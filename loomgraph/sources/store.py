@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..graph import DST, EID, ID, MIXED, SRC, EdgeTable, NodeTable, PropertyGraph
+from ..graph import DST, EID, ID, SRC, EdgeTable, NodeTable, PropertyGraph, is_mixed
 from ..lang.lexer import GqlError
 
 FORMAT = 1
@@ -63,7 +63,7 @@ def open_graph(spark: SparkSession, path: str) -> tuple[PropertyGraph, dict]:
 
 def _json_value(name: str, t: T.DataType):
     c = F.col(f"`{name}`")
-    if t != MIXED:
+    if not is_mixed(t):
         return c.alias(name)
     text = F.when(c["kind"] == "int", c["l"].cast("string")).when(c["kind"] == "float", c["d"].cast("string")).when(c["kind"] == "bool", c["b"].cast("string")).when(c["kind"] == "str", F.to_json(F.array(c["s"]))).otherwise(c["j"])
     return F.try_parse_json(F.when(c["kind"] == "str", F.regexp_replace(text, r"^\[|\]$", "")).otherwise(text)).alias(name)
