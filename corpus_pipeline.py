@@ -18,6 +18,8 @@ from loomgraph.llm.packing import pack_documents
 from loomgraph.llm.quality_crf import rows_of_quality
 
 SEED = 7
+#: Words that a worker remembers in the last stage: workers live on beside the other stages' memory.
+REMEMBERED = 200_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +44,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces and their places in sequences of 2048 tokens."""
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), seed=SEED)
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), seed=SEED, remembered=REMEMBERED)
 
 
 STAGES = [

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,9 +71,26 @@ class Scratch:
         self.paths = []
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a context, unless they find it by themselves: in
+    the folder they run in or by PYTHONPATH."""
+    package = Path(__file__).resolve().parent.parent
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    context = spark.sparkContext
+    if str(package.parent) in (os.path.realpath(x) for x in known if x) or getattr(context, "_loomgraph_sent", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="loomgraph-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in package.rglob("*.py"):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._loomgraph_sent = True
+
+
 def in_arrow(df: DataFrame, function, schema) -> DataFrame:
     """``df.mapInArrow`` with small batches; a task gives the memory it has freed back at its end, as
     Python workers outlive tasks and stages."""
+    ship_package(df.sparkSession)
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) == 10_000:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

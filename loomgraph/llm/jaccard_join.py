@@ -42,6 +42,10 @@ FREQUENT = 64
 #: treated like any other token.
 MOST_FREQUENT = 1 << 20
 BROADCAST_ROWS = 500_000
+#: Members of a group that are paired one by one with a class at most; a larger group is opened as a
+#: whole, in parts of about so many members.
+SMALL_GROUP = 16
+PART = 256
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
@@ -224,19 +228,22 @@ def _row_pairs(n: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.nda
         yield i[keep], j[keep]
 
 
-def candidate_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """(a, b) from the matrix's entries(token, node, n, place, grp): pairs of classes of
-    different groups that share the token and whose places and sizes leave room for the overlap.
+def matrix_candidates(entries: DataFrame, percent: int) -> DataFrame:
+    """(a, b, grp) from the matrix's entries(token, node, n, place, grp, members).
 
-    A pair that links is formed at its first common token at least. There, all tokens before the two
-    places differ, so the places together are no more than the sets may differ in. Rows of the matrix
-    arrive sorted by token and are held one at a time, as four numbers for each of their classes.
+    Classes of different groups that share the token and whose places and sizes leave room for the
+    overlap are candidates: as a pair (a, b) if both groups are small, else as a query of class a
+    against the larger group as a whole. A pair that links is formed at its first common token at
+    least. There, all tokens before the two places differ, so the places together are no more than the
+    sets may differ in. Rows of the matrix arrive sorted by token and are held one at a time, as a few
+    numbers for each of their classes.
     """
+    names = ("token", "node", "n", "place", "grp", "members")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: np.ndarray | None = None  # the row that may go on in the next batch
         for batch in batches:
-            part = np.stack([np.asarray(batch.column(x).cast(pa.int64())) for x in ("token", "node", "n", "place", "grp")])
+            part = np.stack([np.asarray(batch.column(x).cast(pa.int64())) for x in names])
             part = part if rest is None else np.concatenate([rest, part], 1)
             if not part.shape[1]:
                 continue
@@ -248,7 +255,7 @@ def candidate_pairs(entries: DataFrame, percent: int) -> DataFrame:
             yield from rows(rest)
 
     def rows(part: np.ndarray) -> Iterator[pa.RecordBatch]:
-        token, node, n, place, grp = part
+        token, node, n, place, grp, members = part
         start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         length = np.diff(np.concatenate([start, [len(token)]]))
         for size in np.unique(length[length > 1]).tolist():
@@ -260,12 +267,67 @@ def candidate_pairs(entries: DataFrame, percent: int) -> DataFrame:
                     both, less, more = n[x] + n[y], np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
                     fit = (grp[x] != grp[y]) & (100 * less >= percent * more) & ((place[x] + place[y]) * (100 + percent) <= both * (100 - percent))
                     x, y = x[fit], y[fit]
-                    if len(x):
-                        a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                    large = np.maximum(members[x], members[y]) > SMALL_GROUP
+                    p, q = x[~large], y[~large]
+                    if len(p):
+                        none = pa.nulls(len(p), pa.int64())
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[p], node[q])), pa.array(np.maximum(node[p], node[q])), none], names=["a", "b", "grp"])
+                    p, q = x[large], y[large]
+                    if len(p):
+                        ask = np.where((members[p] < members[q]) | ((members[p] == members[q]) & (grp[p] < grp[q])), p, q)
+                        asked = np.where(ask == p, q, p)
+                        pairs = np.unique(np.stack([node[ask], grp[asked]]), axis=1)
+                        none = pa.nulls(pairs.shape[1], pa.int64())
+                        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), none, pa.array(pairs[1])], names=["a", "b", "grp"])
+
+    dealt = entries.repartition("token").sortWithinPartitions("token").select(*names)
+    return in_arrow(dealt, run, "a long, b long, grp long")
+
+
+def _opened(asks: DataFrame, groups: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Queries of classes against whole groups, asks(a, grp), as edges(u, v): of each part of a group
+    the first member that the class links with, if any. A part's sets are held in memory and the
+    queries stream past them, so no pairs are formed."""
+    asked = groups.join(asks.select("grp").distinct(), "grp", "left_semi")
+    involved = asked.select("row").unionByName(asks.select(F.col("a").alias("row"))).distinct().join(reps.select("row", "cls", "doc_id"), "row")
+    involved = scratch.written(involved, "asked")
+    wanted = small(involved.select("doc_id").distinct(), BROADCAST_ROWS)
+    sets = _class_sets(docs.join(wanted, "doc_id", "left_semi"), words)
+    sets = scratch.written(sets.join(involved.select("row", "cls"), "cls").dropDuplicates(["row"]).select("row", "tokens"), "asked-sets")
+    parts = F.ceil(F.col("members") / PART).cast("int")
+    inside = asked.withColumn("part", F.pmod(F.xxhash64("row"), parts).cast("int")).select("grp", "part", F.lit(0).alias("role"), "row")
+    sizes = asked.select("grp", "members").distinct()
+    queries = asks.join(sizes, "grp").select("grp", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(1).alias("role"), F.col("a").alias("row"))
+    dealt = inside.unionByName(queries).join(sets, "row").repartition("grp", "part").sortWithinPartitions("grp", "part", "role")
 
-    dealt = entries.repartition("token").sortWithinPartitions("token").select("token", "node", "n", "place", "grp")
-    return in_arrow(dealt, run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, names, sets_, flat = None, [], [], None
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            columns = [batch.column(x).to_pylist() for x in ("grp", "part", "role", "row")]
+            tokens = batch.column("tokens")
+            for k, (grp, part, role, row) in enumerate(zip(*columns, strict=True)):
+                own = tokens[k].values.to_numpy(zero_copy_only=False)
+                if (grp, part) != key:
+                    key, names, sets_, flat = (grp, part), [], [], None
+                if role == 0:
+                    names.append(row)
+                    sets_.append(own)
+                    continue
+                if not names:
+                    continue
+                if flat is None:
+                    sizes_ = np.array([len(x) for x in sets_])
+                    flat, starts = np.concatenate(sets_), np.cumsum(sizes_) - sizes_
+                own = np.sort(own)
+                at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                shared = np.add.reduceat((own[at] == flat).astype(np.int64), starts)
+                hit = np.flatnonzero(100 * shared >= percent * (len(own) + sizes_ - shared))
+                if len(hit):
+                    found.append((row, min(names[h] for h in hit)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["u", "v"])
+
+    return scratch.written(in_arrow(dealt, run, "u long, v long"), "asked-links")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -296,12 +358,16 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     star = scratch.written(star, "star").distinct()
     first_links = _verified(star, reps, docs, words, percent, scratch, "star")
     groups = components(first_links).withColumnRenamed("node", "row").withColumnRenamed("label", "grp")
+    groups = scratch.written(groups.join(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("members")), "grp"), "groups")
 
     # the token-group matrix, queried by every class
-    grouped = reps.select("row", "n", "prefix").join(groups, "row", "left").withColumn("grp", F.coalesce("grp", "row"))
-    entries = grouped.select(F.col("row").alias("node"), "n", "grp", F.posexplode("prefix").alias("place", "token"))
-    opened = scratch.written(candidate_pairs(entries, percent).distinct(), "opened")
-    links = first_links.unionByName(_verified(opened, reps, docs, words, percent, scratch, "opened"))
+    grouped = reps.select("row", "n", "prefix").join(groups, "row", "left").withColumns({"grp": F.coalesce("grp", "row"), "members": F.coalesce("members", F.lit(1))})
+    entries = grouped.select(F.col("row").alias("node"), "n", "grp", "members", F.posexplode("prefix").alias("place", "token"))
+    candidates = scratch.written(matrix_candidates(entries, percent).distinct(), "candidates")
+    links = first_links.unionByName(_verified(candidates.filter("grp is null").select("a", "b"), reps, docs, words, percent, scratch, "opened"))
+    asks = candidates.filter("grp is not null").select("a", "grp")
+    if asks.limit(1).count():
+        links = links.unionByName(_opened(asks, groups, reps, docs, words, percent, scratch))
 
     labels = components(links).withColumnRenamed("node", "rep")
     labelled = classes.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
