@@ -353,7 +353,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     # its own: what a set of near copies was copied from has hardly any, and links with all of them
     keys = reps.select("row", "rare", F.explode("minima").alias("key"))
     pivots = keys.groupBy("key").agg(F.min(F.struct("rare", "row")).alias("a"), F.count(F.lit(1)).alias("rows"))
-    pivots = pivots.filter("rows > 1").select("key", F.col("a.row").alias("a"))
+    pivots = scratch.written(pivots.filter("rows > 1").select("key", F.col("a.row").alias("a")), "pivots")
     star = keys.join(pivots, "key").filter("row != a").select(F.least("a", "row").alias("a"), F.greatest("a", "row").alias("b"))
     star = scratch.written(star, "star").distinct()
     first_links = _verified(star, reps, docs, words, percent, scratch, "star")
