@@ -7,6 +7,7 @@ a whole; so a value carries, where it can fail at all, a column that says whethe
 
 from __future__ import annotations
 
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -16,6 +17,15 @@ from pyspark.sql import types as T
 from ..graph import MIXED, MIXED_FIELD, kind_of
 
 NUMBERS = ("int", "float")
+#: What is known to fail before any row is read; a query's planning collects it.
+NOTES: ContextVar[list[str] | None] = ContextVar("notes", default=None)
+
+
+def note(text: str) -> None:
+    found = NOTES.get()
+    if found is not None and text not in found:
+        found.append(text)
+
 ORDERED = ("int", "float", "str", "bool", "date", "datetime")
 
 
@@ -72,6 +82,7 @@ def arithmetic(op: str, a: Val, b: Val) -> Val:
         step = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (b.col / F.lit(1000)).cast("decimal(18,6)"))
         return Val(a.col + step if op == "+" else a.col - step, "datetime", fail=fail)
     if a.kind not in NUMBERS or b.kind not in NUMBERS:
+        note(f"{a.kind} {op} {b.kind} has no value")
         return failure()
     whole = a.kind == b.kind == "int"
     if op == "/":
@@ -121,6 +132,8 @@ def equal(a: Val, b: Val, nested: bool = False) -> Val:
     if {a.kind, b.kind} == {"node", "edge"}:
         return Val(F.when(a.col.isNotNull() & b.col.isNotNull(), F.lit(False)), "bool", fail=fail)
     if a.kind != b.kind:
+        if not nested:
+            note(f"{a.kind} and {b.kind} are never equal or unequal")
         return Val(F.lit(False), "bool", fail=fail) if nested else Val(F.lit(None).cast("boolean"), "bool", fail=F.lit(True))
     if a.kind == "list" and a.type is not None and b.type is not None:
         return Val(_lists_equal(a, b), "bool", fail=fail)
@@ -158,6 +171,7 @@ def compare(op: str, a: Val, b: Val) -> Val:
         a, b = (got, o) if m is a else (o, got)
     both = a.kind in NUMBERS and b.kind in NUMBERS
     if not both and (a.kind != b.kind or a.kind not in ORDERED):
+        note(f"{a.kind} {op} {b.kind} is never true")
         return Val(F.lit(None).cast("boolean"), "bool", fail=F.lit(True))
     x, y = (a.number(), b.number()) if both and a.kind != b.kind else (a.col, b.col)
     return Val({"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op], "bool", fail=fail)

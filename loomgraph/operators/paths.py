@@ -18,6 +18,8 @@ from ..plans.scope import Rel, VarInfo, col
 from ..storage import written
 
 MODES = ("TRAIL", "SIMPLE", "ACYCLIC")
+#: Levels whose used quotas are summed when they are asked for; after so many, the sum is written.
+SEEN_PARTS = 6
 
 
 def least_edges(p: Pattern) -> int:
@@ -196,11 +198,12 @@ def _searched(planner, left: Rel, laps: DataFrame, groups: dict[str, VarInfo], p
     types = dict((f.name, f.dataType) for f in laps.schema)
     now = now.withColumns({n: F.array().cast(types[n]) for n in names})
     groups_wanted = prefix.search == "GROUPS"
-    seen: DataFrame | None = None  # pairs and how much of their quota is used
+    seen: list[DataFrame] = []  # parts of the quota that pairs have used
     levels: list[DataFrame] = []
 
-    def quota(df: DataFrame, used: DataFrame | None) -> DataFrame:
-        if used is not None:
+    def quota(df: DataFrame, counted: bool) -> DataFrame:
+        if counted and seen:
+            used = total().withColumnRenamed("__n", "__used")
             df = df.join(used, ["__a", "__b"], "left").withColumn("__used", F.coalesce("__used", F.lit(0)))
         else:
             df = df.withColumn("__used", F.lit(0))
@@ -209,24 +212,31 @@ def _searched(planner, left: Rel, laps: DataFrame, groups: dict[str, VarInfo], p
         rank = F.row_number().over(Window.partitionBy("__a", "__b").orderBy(_ids(F.col("__way"), "e")))
         return df.withColumn("__rank", rank).filter(F.col("__rank") + F.col("__used") <= prefix.count).drop("__rank")
 
-    def used_by(df: DataFrame) -> DataFrame:
-        return df.groupBy("__a", "__b").agg((F.lit(1) if groups_wanted else F.count(F.lit(1)).cast("int")).alias("__more"))
+    def total() -> DataFrame:
+        parts = seen[0]
+        for x in seen[1:]:
+            parts = parts.unionByName(x)
+        return parts.groupBy("__a", "__b").agg(F.sum("__n").cast("int").alias("__n"))
+
+    def use(level: DataFrame) -> None:
+        pairs = level.groupBy("__a", "__b").agg((F.lit(1) if groups_wanted else F.count(F.lit(1)).cast("int")).alias("__n"))
+        seen.append(pairs)
+        if len(seen) == SEEN_PARTS:
+            seen[:] = [written(total(), "seen")]
 
     k = 0
     if p.low == 0:
         levels.append(written(now, "level"))
-        seen = now.select("__a", "__b", F.lit(1).alias("__used"))
+        use(levels[-1])
     while p.high is None or k < p.high:
         k += 1
         now = _extended(now, "__b", "__way", laps, names)
-        now = written(quota(now, seen if k >= p.low else None).drop("__used"), "level")
+        now = written(quota(now, k >= p.low).drop("__used"), "level")
         if now.isEmpty():
             break
         if k >= p.low:
             levels.append(now)
-            more = used_by(now)
-            seen = more.withColumnRenamed("__more", "__used") if seen is None else seen.join(more, ["__a", "__b"], "full").select("__a", "__b", (F.coalesce("__used", F.lit(0)) + F.coalesce("__more", F.lit(0))).alias("__used"))
-            seen = written(seen, "seen")
+            use(now)
     if not levels:
         return _no_rows(planner, left, groups)
     found = levels[0]

@@ -298,6 +298,18 @@ def _output(v: Val):
 
 
 def plan_query(graph: PropertyGraph, q: Query, limit: int | None = None) -> Planned:
+    """The query as a lazy DataFrame, with warnings about what can't match or never holds."""
+    notes: list[str] = []
+    token = V.NOTES.set(notes)
+    try:
+        planned = _planned(graph, q, limit)
+    finally:
+        V.NOTES.reset(token)
+    planned.warnings += notes
+    return planned
+
+
+def _planned(graph: PropertyGraph, q: Query, limit: int | None) -> Planned:
     planner = PatternPlanner(graph, q)
     r = run_matches(planner, q.matches)
     if q.nearest is not None:

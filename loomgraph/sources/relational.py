@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..graph import DST, EID, ID, SRC, EdgeTable, NodeTable, PropertyGraph, node_id
 
@@ -52,10 +53,20 @@ def row_number_in_file() -> Column:
     return F.shiftleft(F.crc32(F.col("_metadata.file_name")).bitwiseAND(F.lit(0xFFF)), 36) + F.col("_metadata.row_index")
 
 
+#: Schemas of tables that were read before: a schema read again would be a job for every table.
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
 def commerce_graph(spark: SparkSession, folder: str) -> PropertyGraph:
     """Regions, nations, customers, suppliers, parts, orders, line items, events, documents, pages and
     vectors of a folder of Parquet tables as one graph."""
-    read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
+    read = lambda name: read_table(spark, f"{folder}/{name}.parquet")
     c = F.col
     b = RelationalGraph(spark)
     b.nodes("Region", read("region"), c("r_regionkey"), {"key": c("r_regionkey").cast("long"), "name": c("r_name")})

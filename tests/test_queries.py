@@ -117,6 +117,12 @@ def test_warning_for_unknown_label(g):
     assert g["chain"].check("MATCH (x:Nope) RETURN x.name AS n")
 
 
+def test_warnings_for_what_never_holds(g):
+    assert g["people"].check("MATCH (x) WHERE x.age = 'a' RETURN x.name AS n") == ["int and str are never equal or unequal"]
+    assert g["people"].check("MATCH (x) WHERE x.name < 3 RETURN x.name + 1 AS n") == ["str < int is never true", "str + int has no value"]
+    assert g["people"].check("MATCH (x) WHERE x.age = 1.5 RETURN x.name AS n") == []
+
+
 def test_multi_label_edge_is_one_match(spark):
     s = session(spark, [node("a", "N"), node("b", "N")], [edge("1", "a", "A", "b"), edge("2", "a", "B", "b"), edge("3", "a", "A&B", "b")])
     for label, n in (("A", 2), ("A&B", 1), ("A|B", 3), ("!A", 1)):
