@@ -79,13 +79,16 @@ def word_encoder(path: str, remembered: int) -> WordEncoder:
     return WordEncoder(path, remembered)
 
 
-def document_pieces(docs: DataFrame, tokenizer: str, most: int = BIN, end_id: int = 0, remembered: int = REMEMBERED) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, ids binary) of documents(doc_id, text).
+def document_pieces(docs: DataFrame, tokenizer: str, most: int = BIN, end_id: int = 0, remembered: int = REMEMBERED, with_ids: bool = True) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32[, ids binary]) of documents(doc_id, text).
 
     Null and empty texts are the end id alone; repeated rows give their pieces each; other columns are
     ignored.
     """
 
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.binary()] if with_ids else [])]
+    names_ = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer, remembered)
         end = np.array([end_id], "<u4").tobytes()
@@ -98,13 +101,13 @@ def document_pieces(docs: DataFrame, tokenizer: str, most: int = BIN, end_id: in
                     ids += end
                     for piece, at in enumerate(range(0, len(ids), 4 * most)):
                         part = ids[at : at + 4 * most]
-                        rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), part))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+                        row = (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))
+                        rows.append((*row, part) if with_ids else row)
+            columns = list(zip(*rows, strict=True)) or [()] * len(names_)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names_)
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return in_arrow(plain, cut, PIECE + ", ids binary")
+    return in_arrow(plain, cut, PIECE + ", ids binary" * with_ids)
 
 
 class _Bins:
@@ -263,6 +266,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, seed: int = 0, size: int = B
     Each row is a piece and its place in the packed sequences; see document_pieces and pack_pieces.
     Without ``with_ids`` only the pieces' lengths and checksums travel, not the ids.
     """
-    pieces = document_pieces(docs, tokenizer, size, remembered=remembered)
-    pieces = written(pieces if with_ids else pieces.drop("ids"), "pieces")
+    pieces = written(document_pieces(docs, tokenizer, size, remembered=remembered, with_ids=with_ids), "pieces")
     return pack_pieces(pieces, seed, size)

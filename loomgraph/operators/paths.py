@@ -46,7 +46,7 @@ def check_repeat(p: Repeat, prefix: Prefix) -> None:
 
 
 def _ids(path: Column, kind: str) -> Column:
-    return F.transform(F.filter(path, lambda x: x["kind"] == kind), lambda x: x["id"])
+    return F.transform(F.filter(path, lambda x: x["__kind"] == kind), lambda x: x["__id"])
 
 
 def mode_holds(path: Column, mode: str) -> Column:
@@ -193,7 +193,7 @@ def _searched(planner, left: Rel, laps: DataFrame, groups: dict[str, VarInfo], p
     left_df = written(left.df, "starts")
     kept_type = planner.path_type()
     start = left_df.select(col(left.last).alias("__a")).distinct().filter(F.col("__a").isNotNull())
-    empty_path = F.array(F.struct(F.lit("n").alias("kind"), F.col("__a").alias("id"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in kept_type.fields[2:]]))
+    empty_path = F.array(F.struct(F.lit("n").alias("__kind"), F.col("__a").alias("__id"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in kept_type.fields[2:]]))
     now = start.withColumns({"__b": F.col("__a"), "__way": empty_path})
     types = dict((f.name, f.dataType) for f in laps.schema)
     now = now.withColumns({n: F.array().cast(types[n]) for n in names})

@@ -70,7 +70,7 @@ class PatternPlanner:
     def path_type(self) -> T.StructType:
         types = self.types_of([*self.graph.nodes, *self.graph.edges])
         extra = [T.StructField(a, types[a]) for a in sorted(self.path_attrs) if a in types]
-        return T.StructType([T.StructField("kind", T.StringType()), T.StructField("id", T.LongType()), *extra])
+        return T.StructType([T.StructField("__kind", T.StringType()), T.StructField("__id", T.LongType()), *extra])
 
     # -- entry
 
@@ -332,7 +332,7 @@ class PatternPlanner:
         def element(v: str):
             have = dict(rel.vars[v].attrs)
             extra = [(as_type(col(f"{v}${f.name}"), have[f.name], f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in t.fields[2:]]
-            return F.struct(F.lit("n" if v in nodes else "e").alias("kind"), col(v).alias("id"), *extra)
+            return F.struct(F.lit("n" if v in nodes else "e").alias("__kind"), col(v).alias("__id"), *extra)
 
         first, last, path = self.fresh("f"), self.fresh("l"), self.fresh("p")
         df = rel.df.withColumns({first: col(order[0]), last: col(order[-1]), path: F.array(*[element(v) for v in order])})

@@ -213,7 +213,7 @@ class Compiler:
     def _ids(items: Val) -> tuple[str | None, Column]:
         inner = items.type.elementType if items.type is not None else None
         if isinstance(inner, T.StructType):
-            return items.elements, F.transform(items.col, lambda y: y["id"])
+            return items.elements, F.transform(items.col, lambda y: y["__id"])
         return items.elements, items.col
 
     def _un(self, e: Un) -> Val:
@@ -312,7 +312,7 @@ class Compiler:
             if name == "ELEMENTS":
                 return Val(v.col, "list", T.ArrayType(t), elements="element")
             want = "n" if name == "NODES" else "e"
-            return Val(F.filter(v.col, lambda x: x["kind"] == want), "list", T.ArrayType(t), elements="node" if want == "n" else "edge")
+            return Val(F.filter(v.col, lambda x: x["__kind"] == want), "list", T.ArrayType(t), elements="node" if want == "n" else "edge")
         if name in ("DATE", "LOCAL_DATETIME"):
             return self._temporal(name, e.args)
         if name == "VECTOR":
@@ -328,7 +328,7 @@ class Compiler:
 
     def _path_type(self, e: Expr) -> T.DataType:
         info = self.scope.get(e.name) if isinstance(e, Var) else None
-        return info.type if info is not None and info.type is not None else T.StructType([T.StructField("kind", T.StringType()), T.StructField("id", T.LongType())])
+        return info.type if info is not None and info.type is not None else T.StructType([T.StructField("__kind", T.StringType()), T.StructField("__id", T.LongType())])
 
     def _temporal(self, name: str, args: list[Expr]) -> Val:
         kind = "date" if name == "DATE" else "datetime"

@@ -51,6 +51,9 @@ def g(spark):
         ("chain", "MATCH (a:N) WHERE EXISTS { MATCH (x)-[e:R]->(a) WHERE e.p > 1 } OR a.name = 'a' RETURN a.name AS a", [("a",), ("c",)]),
         ("chain", "MATCH (a:N) WHERE EXISTS { MATCH (x)-[e:R]->(y) WHERE y.name > a.name } RETURN a.name AS a", [("a",), ("b",)]),
         ("chain", "MATCH (a:N) RETURN a.name AS a, VALUE { MATCH (a)-[e:R]->(b) RETURN COUNT(e) } AS n, VALUE { MATCH (a)-[e:R]->(b) RETURN b.name LIMIT 1 } AS b", [("a", 1, "b"), ("b", 1, "c"), ("c", 0, None)]),
+        ("chain", "MATCH p = ALL SHORTEST (a {name: 'a'})-[:R]->*(b {name: 'c'}) RETURN [x IN NODES(p) | x.name] AS ns, SUM(VALUE { MATCH (x)-[e:R]->(y) WHERE x IN NODES(p) AND y IN NODES(p) RETURN COUNT(e) * 1.5 }) AS w GROUP BY p", [(["a", "b", "c"], 3.0)]),
+        ("chain", "MATCH (a {name: 'a'}) MATCH p = ANY SHORTEST (a)-[:R]->{1,3}(b) WHERE a <> b RETURN b.name AS b, PATH_LENGTH(p) AS l", [("b", 1), ("c", 2)]),
+        ("chain", "MATCH (a:N) RETURN a.name AS a, VALUE { MATCH (a)-[e:R]->(b) RETURN RECORD {n: b.name, p: e.p} AS r ORDER BY r.p DESC LIMIT 1 } AS r ORDER BY r.p DESC, a LIMIT 2", [("a", ("b", 1)), ("b", ("c", 2))]),
         # three-valued logic and failures
         ("people", "MATCH (x) WHERE x.age > 26 RETURN x.name AS n", [("ann",), ("dan",)]),
         ("people", "MATCH (x) WHERE NOT (x.age > 26) RETURN x.name AS n", [("bob",)]),
