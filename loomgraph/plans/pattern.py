@@ -8,6 +8,8 @@ the scans and only the properties that the query reads are selected.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -50,6 +52,8 @@ class PatternPlanner:
         self.path_attrs: set[str] = set()
         self.names = 0
         self.warnings: list[str] = []
+        #: variables whose properties are at hand already: they are not read again
+        self.bound: frozenset[str] = frozenset()
         elements = {x.var for x in walk(statement) if isinstance(x, Comprehension) and isinstance(x.source, Call) and x.source.name in ("NODES", "EDGES", "ELEMENTS")}
         for x in walk(statement):
             if isinstance(x, Attr) and isinstance(x.base, Var):
@@ -104,6 +108,15 @@ class PatternPlanner:
             return union([Rel(nodes.df, {}, nodes.first, nodes.last, nodes.path), self.plan(p.inner, True, seeds)], self)
         return self.chain(p.items if isinstance(p, Concat) else [p], seeds, Prefix())
 
+    @contextmanager
+    def knowing(self, names: Iterable[str]):
+        """While a pattern is planned that is joined to rows with these variables and their properties."""
+        before, self.bound = self.bound, self.bound | frozenset(names)
+        try:
+            yield
+        finally:
+            self.bound = before
+
     def filtered(self, r: Rel, where: Expr) -> Rel:
         from .query import attach_subqueries  # subqueries hold whole queries
 
@@ -163,7 +176,8 @@ class PatternPlanner:
             for e in edges:
                 self.needs.setdefault(e.var, set()).update(self.path_attrs)
         self._narrow(nodes, edges)
-        rel = self._join(nodes, edges, wheres)
+        read = {x.base.name for x in walk(wheres) if isinstance(x, Attr) and isinstance(x.base, Var)}
+        rel = self._join(nodes, edges, wheres, frozenset() if want_path else self.bound - read)
         conditions = [Compiler(rel.vars).condition(w) for w in wheres if not has_subquery(w)]
         if conditions:
             rel.df = rel.df.filter(reduce(lambda a, b: a & b, conditions))
@@ -223,12 +237,13 @@ class PatternPlanner:
                 changed |= len(fits) != len(e.tables)
                 e.tables = fits
 
-    def _join(self, nodes: dict[str, _Node], edges: list[_Edge], wheres: list[Expr]) -> Rel:
+    def _join(self, nodes: dict[str, _Node], edges: list[_Edge], wheres: list[Expr], bare: frozenset[str]) -> Rel:
+        """``bare`` variables come without properties."""
         variables: dict[str, VarInfo] = {}
 
         def info(kind: str, var: str, tables: list) -> VarInfo:
             types = self.types_of(tables)
-            got = [(a, types[a]) for a in sorted(self.needs.get(var, ())) if a in types]
+            got = [(a, types[a]) for a in sorted(self.needs.get(var, ())) if a in types and var not in bare]
             return VarInfo(kind, attrs=tuple(got), known=tuple(types.items()))
 
         for n in nodes.values():

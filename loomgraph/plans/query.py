@@ -53,7 +53,8 @@ def run_matches(planner: PatternPlanner, matches: list[Match]) -> Rel:
 
 
 def matched(planner: PatternPlanner, left: Rel | None, m: Match) -> Rel:
-    r = plain(planner.plan(m.pattern, seeds=left))
+    with planner.knowing(_complete(planner, left)):
+        r = plain(planner.plan(m.pattern, seeds=left))
     if left is not None:
         r = natural_join(left, r)
     for e in conjuncts(m.where):
@@ -61,6 +62,13 @@ def matched(planner: PatternPlanner, left: Rel | None, m: Match) -> Rel:
     return r
 
 
+def _complete(planner: PatternPlanner, left: Rel | None) -> set[str]:
+    """The nodes and edges that ``left`` has with every property that is read and that they can have."""
+    if left is None:
+        return set()
+    return {v for v, x in left.vars.items() if x.kind in ("node", "edge") and {a for a, _ in x.attrs} >= planner.needs.get(v, set()) & {a for a, _ in x.known}}
+
+
 def filtered(planner: PatternPlanner, r: Rel, e: Expr) -> Rel:
     """One conjunct; EXISTS as a semi join, NOT EXISTS as an anti join."""
     if isinstance(e, Exists):
@@ -70,10 +78,13 @@ def filtered(planner: PatternPlanner, r: Rel, e: Expr) -> Rel:
 
 def optional(planner: PatternPlanner, left: Rel, m: Match) -> Rel:
     """A left join; the clause's condition is part of the join and may read what is bound before."""
-    r = plain(planner.plan(m.pattern, seeds=left))
+    own = {x.var for x in walk(m.pattern) if getattr(x, "var", None)}
     inner, outer = [], []
     for e in conjuncts(m.where):
-        (inner if free_vars(e) <= set(r.vars) else outer).append(e)
+        (inner if free_vars(e) <= own else outer).append(e)
+    read = {x.base.name for x in walk(inner) if isinstance(x, Attr) and isinstance(x.base, Var)}
+    with planner.knowing(_complete(planner, left) - read):
+        r = plain(planner.plan(m.pattern, seeds=left))
     for e in inner:
         r = plain(filtered(planner, r, e))
     shared = sorted(set(left.vars) & set(r.vars))
@@ -104,8 +115,12 @@ def correlation(planner: PatternPlanner, outer: Rel, q: Query) -> tuple[Rel, lis
     bound = {x.var for m in q.matches for x in walk(m.pattern) if getattr(x, "var", None)}
     reads = free_vars(q)
     names = sorted((bound | reads) & set(outer.vars))
-    keys = [c for v in names for c in outer.columns_of(v)]
-    given = Rel(outer.df.select(*[col(c) for c in keys]).distinct(), {v: outer.vars[v] for v in names})
+    # nodes and edges are told by their ids; their properties come along only if the subquery reads them
+    read = {x.base.name for x in walk(q) if isinstance(x, Attr) and isinstance(x.base, Var)}
+    infos = {v: outer.vars[v] if v in read or outer.vars[v].kind not in ("node", "edge") else replace(outer.vars[v], attrs=(), known=()) for v in names}
+    keys = [c for v in names for c in ([v] if infos[v].kind in ("node", "edge") else outer.columns_of(v))]
+    columns = [c for v in names for c in [v, *(f"{v}${a}" for a, _ in infos[v].attrs)]]
+    given = Rel(outer.df.select(*[col(c) for c in columns]).distinct(), infos)
     out: Rel | None = given if names else None
     for k, m in enumerate(q.matches):
         out = matched(planner, out, m) if k == 0 or not m.optional else optional(planner, out, m)
@@ -131,9 +146,11 @@ def _simple_keys(outer: Rel, q: Query, planner: PatternPlanner) -> tuple[Rel, li
     names = sorted(bound & set(outer.vars))
     if not names or any(outer.vars[v].kind not in ("node", "edge") for v in names):
         return None
+    read = {x.base.name for x in walk(q) if isinstance(x, Attr) and isinstance(x.base, Var)}
     out: Rel | None = None
-    for m in q.matches:
-        out = matched(planner, out, m)
+    with planner.knowing(set(names) - read):
+        for m in q.matches:
+            out = matched(planner, out, m)
     return out, names
 
 
@@ -426,6 +443,11 @@ def _grouped(r: Rel, q: Query, names: list[str], keys: list[Expr], found: dict[i
         at = next((k for k, e in enumerate(keys) if _same(i.expr, e)), None)
         if at is not None:
             values[n] = replace(key_values[at], col=col(f"__g{at}"), fail=None)
+        elif not _aggregates(i.expr, r.vars) and ((free_vars(i.expr) & set(r.vars)) <= {k.name for k in keys if isinstance(k, Var)} or _made_of_keys(i.expr, keys)):
+            # what depends on grouped variables is a key as good as they are
+            v = plain_(i.expr)
+            by.append(_output(v).alias(f"__d {n}"))
+            values[n] = replace(v, col=col(f"__d {n}"), fail=None)
         else:
             v = grouped(i.expr)
             aggregates.append(_output(v).alias(f"__a {n}"))
