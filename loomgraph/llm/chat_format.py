@@ -15,11 +15,11 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,9 +63,10 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 @dataclass
 class Encoded:
-    ids: list[int]
-    offsets: list[tuple[int, int]]
-    mask: list[int]  # of each token: is it trained on
+    ids: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    mask: np.ndarray  # of each token: is it trained on
 
 
 def chat_tokenizer(path: str):
@@ -84,28 +85,26 @@ def encode(tokenizer, formatted: list[str], trained: list[list[tuple[int, int]]]
     """Ids, offsets and mask of each string; ``trained`` has each one's sorted spans to train on."""
     out = []
     for e, spans in zip(tokenizer.encode_batch(formatted, add_special_tokens=False), trained, strict=True):
-        offsets = e.offsets
-        mask = [0] * len(offsets)
-        starts, ends = [o[0] for o in offsets], [o[1] for o in offsets]
-        for lo, hi in spans:
-            if lo < hi:
-                first, last = bisect_right(ends, lo), bisect_left(starts, hi)
-                mask[first:last] = [1] * (last - first)
-        out.append(Encoded(e.ids, offsets, mask))
+        ids = np.array(e.ids, np.int32)
+        offsets = np.fromiter(chain.from_iterable(e.offsets), np.int32, 2 * len(ids))
+        starts, ends = offsets[0::2], offsets[1::2]
+        mask = np.zeros(len(ids), np.int8)
+        lo, hi = np.array([s for s in spans if s[0] < s[1]], np.int32).reshape(-1, 2).T
+        for first, last in zip(np.searchsorted(ends, lo, "right").tolist(), np.searchsorted(starts, hi, "left").tolist(), strict=True):
+            mask[first:last] = 1
+        out.append(Encoded(ids, starts, ends, mask))
     return out
 
 
-def masked_spans(encoded: Encoded) -> list[tuple[int, int]]:
+def masked_spans(starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> list[tuple[int, int]]:
     """The character spans under the mask, in order; tokens of one character's bytes count it once."""
-    spans: list[tuple[int, int]] = []
-    for (lo, hi), on in zip(encoded.offsets, encoded.mask, strict=True):
-        if not on:
-            continue
-        if spans and lo <= spans[-1][1]:
-            spans[-1] = (spans[-1][0], max(hi, spans[-1][1]))
-        else:
-            spans.append((lo, hi))
-    return spans
+    on = mask.astype(bool)
+    lo, hi = starts[on], np.maximum.accumulate(ends[on])
+    if not len(lo):
+        return []
+    first = np.flatnonzero(np.concatenate([[True], lo[1:] > hi[:-1]]))
+    last = np.concatenate([first[1:], [len(lo)]]) - 1
+    return list(zip(lo[first].tolist(), hi[last].tolist(), strict=True))
 
 
 FORMATTED = "conv_id long, formatted string, ids array<int>, offsets array<struct<start:int,end:int>>, loss_mask array<byte>"
@@ -151,16 +150,15 @@ def format_conversations(rows: DataFrame, tokenizer: str, trained_role: str = TR
 
         def flush(held: list) -> pa.RecordBatch:
             encoded = encode(encoder, [x[1] for x in held], [x[2] for x in held])
-            starts = [[o[0] for o in e.offsets] for e in encoded]
-            ends = [[o[1] for o in e.offsets] for e in encoded]
             counts = pa.array(list(accumulate((len(e.ids) for e in encoded), initial=0)), pa.int32())
-            flat = pa.StructArray.from_arrays([pa.array(list(chain.from_iterable(starts)), pa.int32()), pa.array(list(chain.from_iterable(ends)), pa.int32())], fields=list(types[3].value_type))
+            flat = lambda parts: pa.array(np.concatenate(list(parts)))
+            places = pa.StructArray.from_arrays([flat(e.starts for e in encoded), flat(e.ends for e in encoded)], fields=list(types[3].value_type))
             columns = [
                 pa.array([x[0] for x in held], types[0]),
                 pa.array([x[1] for x in held], types[1]),
-                pa.array([e.ids for e in encoded], types[2]),
-                pa.ListArray.from_arrays(counts, flat),
-                pa.array([e.mask for e in encoded], types[4]),
+                pa.ListArray.from_arrays(counts, flat(e.ids for e in encoded)),
+                pa.ListArray.from_arrays(counts, places),
+                pa.ListArray.from_arrays(counts, flat(e.mask for e in encoded)),
             ]
             return pa.RecordBatch.from_arrays(columns, names=["conv_id", "formatted", "ids", "offsets", "loss_mask"])
 
@@ -185,13 +183,14 @@ def read_back(formatted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            offsets = batch.column("offsets")
-            bounds = offsets.offsets.to_pylist()
-            starts, ends = offsets.values.field("start").to_pylist(), offsets.values.field("end").to_pylist()
-            for k, (conv_id, text, mask) in enumerate(zip(batch.column("conv_id").to_pylist(), batch.column("formatted").to_pylist(), batch.column("loss_mask").to_pylist(), strict=True)):
+            offsets, masks = batch.column("offsets"), batch.column("loss_mask")
+            bounds, mask_bounds = np.asarray(offsets.offsets), np.asarray(masks.offsets)
+            starts, ends = (np.asarray(offsets.values.field(x)) for x in ("start", "end"))
+            mask = np.asarray(masks.values)
+            for k, (conv_id, text) in enumerate(zip(batch.column("conv_id").to_pylist(), batch.column("formatted").to_pylist(), strict=True)):
                 turns = parse(text)
                 at = slice(bounds[k], bounds[k + 1])
-                spans = masked_spans(Encoded([], list(zip(starts[at], ends[at], strict=True)), mask))
+                spans = masked_spans(starts[at], ends[at], mask[mask_bounds[k] : mask_bounds[k + 1]])
                 loss = "".join(unescape(text[lo:hi]) for lo, hi in spans)
                 said = "".join(f"{role}\n{body}\n" for role, body in turns)
                 rows.append((conv_id, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))

@@ -148,7 +148,7 @@ def test_chat_edges(spark):
     assert chat_format.format_conversations(df.limit(0), BYTE_BPE).count() == 0
     tokenizer = chat_format.chat_tokenizer(BYTE_BPE)
     for r in formatted.filter("conv_id < 5").collect():
-        assert len(r.ids) == len(r.offsets) == len(r.loss_mask) and tokenizer.encode(r.formatted, add_special_tokens=False).ids == r.ids
+        assert len(r.ids) == len(r.offsets) == len(r.loss_mask) and list(tokenizer.encode(r.formatted, add_special_tokens=False).ids) == list(r.ids)
 
 
 # ---- classifier
