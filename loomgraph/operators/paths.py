@@ -7,6 +7,8 @@ search when every pair of ends has its quota. Paths that can't be in the result
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -202,7 +204,9 @@ def _searched(planner, left: Rel, laps: DataFrame, groups: dict[str, VarInfo], p
     levels: list[DataFrame] = []
 
     def quota(df: DataFrame, counted: bool) -> DataFrame:
-        if counted and seen:
+        if counted and seen and prefix.count == 1:  # a pair that was seen at all has its quota
+            df = df.join(joined(seen).select("__a", "__b"), ["__a", "__b"], "left_anti").withColumn("__used", F.lit(0))
+        elif counted and seen:
             used = total().withColumnRenamed("__n", "__used")
             df = df.join(used, ["__a", "__b"], "left").withColumn("__used", F.coalesce("__used", F.lit(0)))
         else:
@@ -212,14 +216,16 @@ def _searched(planner, left: Rel, laps: DataFrame, groups: dict[str, VarInfo], p
         rank = F.row_number().over(Window.partitionBy("__a", "__b").orderBy(_ids(F.col("__way"), "e")))
         return df.withColumn("__rank", rank).filter(F.col("__rank") + F.col("__used") <= prefix.count).drop("__rank")
 
+    def joined(parts: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, parts)
+
     def total() -> DataFrame:
-        parts = seen[0]
-        for x in seen[1:]:
-            parts = parts.unionByName(x)
-        return parts.groupBy("__a", "__b").agg(F.sum("__n").cast("int").alias("__n"))
+        return joined(seen).groupBy("__a", "__b").agg(F.sum("__n").cast("int").alias("__n"))
 
     def use(level: DataFrame) -> None:
-        pairs = level.groupBy("__a", "__b").agg((F.lit(1) if groups_wanted else F.count(F.lit(1)).cast("int")).alias("__n"))
+        pairs = level.select("__a", "__b", F.lit(1).alias("__n"))
+        if prefix.count > 1:
+            pairs = level.groupBy("__a", "__b").agg((F.lit(1) if groups_wanted else F.count(F.lit(1)).cast("int")).alias("__n"))
         seen.append(pairs)
         if len(seen) == SEEN_PARTS:
             seen[:] = [written(total(), "seen")]
