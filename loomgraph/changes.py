@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 from .graph import CODE_BITS, DST, EID, ID, SRC, EdgeTable, NodeTable, PropertyGraph, as_type, unified
 from .lang.lexer import GqlError
 from .lang.tree import Attr, Change, Concat, EdgeP, Item, Lit, NodeP, Query, Rec, Var, label_names
-from .plans.pattern import PatternPlanner
-from .plans.query import attach_subqueries, project, run_matches
+from .plans.pattern import PatternPlanner, attribute
+from .plans.query import attach_subqueries, project, run_matches, showing_elements
 from .plans.scope import Compiler, Rel, VarInfo, col, spark_type
 from .storage import written
 
@@ -24,6 +24,8 @@ from .storage import written
 def apply_change(g: PropertyGraph, c: Change) -> tuple[PropertyGraph, DataFrame | None]:
     """The graph after the statement, and the rows of its RETURN."""
     g = g.copy()
+    if c.returns is not None:
+        c = showing_elements(c, [c.matches, c.patterns])
     planner = PatternPlanner(g, c)
     if c.matches:
         r = run_matches(planner, c.matches)
@@ -279,7 +281,7 @@ def _returned(g: PropertyGraph, r: Rel, c: Change) -> DataFrame:
         variables[v] = VarInfo(info.kind, attrs=tuple(attrs))
         if attrs:
             key = ID if info.kind == "node" else EID
-            parts = [t.df.select(F.col(key).alias(v), *[(as_type(col(a), t.props[a], x) if a in t.props else F.lit(None).cast(x)).alias(f"{v}${a}") for a, x in attrs]) for t in tables]
+            parts = [t.df.select(F.col(key).alias(v), *[attribute(t, a, x).alias(f"{v}${a}") for a, x in attrs]) for t in tables]
             df = df.join(reduce(DataFrame.unionByName, parts), v, "left")
     q = Query([], returns=c.returns, order_by=c.order_by, limit=c.limit)
     return project(planner, Rel(df, variables), q)

@@ -13,7 +13,7 @@ from .lang.lexer import GqlError
 from .session import GraphSession
 from .sources import files
 
-HELP = ".schema .graph-types .indexes .save .dump-json PATH .dump-gql PATH .limit N .help .quit"
+HELP = ".schema .graph-types .indexes .save .dump-json PATH .dump-gql PATH .limit N .timeout SECONDS .vec .help .quit"
 
 
 class Shell:
@@ -55,6 +55,11 @@ class Shell:
                     Path(rest).write_text(self.session.to_json())
                 case ".dump-gql":
                     Path(rest).write_text(self.session.to_gql())
+                case ".timeout":
+                    self.session.set_timeout(float(rest) or None)
+                case ".vec":
+                    for attr, (_, dim, metric) in sorted(self.session.graph.vectors.items()):
+                        self.say(f"{attr}: {dim} dimensions, {metric}")
                 case ".limit":
                     self.limit = int(rest)
                 case _ if word.startswith("."):

@@ -13,7 +13,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,26 @@ from ..lang.tree import (
 from .scope import Compiler, Rel, VarInfo, col, free_vars
 
 
+#: The property that stands for the whole element: what a returned node or edge shows.
+SELF = "__self"
+SELF_TYPE = T.StructType([T.StructField("kind", T.StringType()), T.StructField("id", T.LongType()), T.StructField("labels", T.ArrayType(T.StringType())), T.StructField("props", T.StringType())])
+
+
+def whole(kind: str, ident: Column, labels: frozenset[str], props: Iterable[str]) -> Column:
+    names = sorted(props)
+    text = F.to_json(F.struct(*[col(n) for n in names])) if names else F.lit("{}")
+    marks = F.array(*[F.lit(x) for x in sorted(labels)]).cast("array<string>")
+    return F.struct(F.lit(kind).alias("kind"), ident.alias("id"), marks.alias("labels"), text.alias("props")).cast(SELF_TYPE)
+
+
+def attribute(t: NodeTable | EdgeTable, name: str, want: T.DataType) -> Column:
+    """A property of the table's rows as a column; null where they lack it."""
+    if name == SELF:
+        kind = "node" if isinstance(t, NodeTable) else "edge"
+        return whole(kind, F.col(ID if kind == "node" else EID), t.labels, t.props)
+    return as_type(col(name), t.props[name], want) if name in t.props else F.lit(None).cast(want)
+
+
 @dataclass
 class _Node:
     var: str
@@ -69,7 +89,7 @@ class PatternPlanner:
 
     def types_of(self, tables: list) -> dict[str, T.DataType]:
         names = sorted({p for t in tables for p in t.props})
-        return {n: unified([t.props[n] for t in tables if n in t.props]) for n in names}
+        return {n: unified([t.props[n] for t in tables if n in t.props]) for n in names} | {SELF: SELF_TYPE}
 
     def path_type(self) -> T.StructType:
         types = self.types_of([*self.graph.nodes, *self.graph.edges])
@@ -306,7 +326,7 @@ class PatternPlanner:
 
     def _node_rows(self, n: _Node, variables: dict[str, VarInfo]) -> DataFrame:
         def one(t: NodeTable) -> DataFrame:
-            attrs = [(as_type(col(a), t.props[a], x) if a in t.props else F.lit(None).cast(x)).alias(f"{n.var}${a}") for a, x in variables[n.var].attrs]
+            attrs = [attribute(t, a, x).alias(f"{n.var}${a}") for a, x in variables[n.var].attrs]
             return t.df.select(F.col(ID).alias(n.var), *attrs)
 
         return reduce(DataFrame.unionByName, [one(t) for t in n.tables])
@@ -314,10 +334,12 @@ class PatternPlanner:
     def _edge_rows(self, e: _Edge, variables: dict[str, VarInfo], inline: str | None) -> DataFrame:
         def one(t: EdgeTable, src: str, dst: str) -> DataFrame:
             source = t.wide if inline else t.df
-            attrs = [(as_type(col(a), t.props[a], x) if a in t.props else F.lit(None).cast(x)).alias(f"{e.var}${a}") for a, x in variables[e.var].attrs]
+            attrs = [attribute(t, a, x).alias(f"{e.var}${a}") for a, x in variables[e.var].attrs]
             if inline:
+                holder = self.graph.node_table(t.inline[1])
                 have = {f.name: f.dataType for f in source.schema}
-                attrs += [as_type(col(a), have[a], x).alias(f"{inline}${a}") for a, x in variables[inline].attrs]
+                itself = lambda: whole("node", F.col(DST if t.inline[0] == "dst" else SRC), holder.labels, holder.props)
+                attrs += [(itself() if a == SELF else as_type(col(a), have[a], x)).alias(f"{inline}${a}") for a, x in variables[inline].attrs]
             rows = source
             if src == dst:
                 rows = rows.filter(F.col(SRC) == F.col(DST))

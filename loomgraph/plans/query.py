@@ -13,9 +13,9 @@ from ..functions import values as V
 from ..functions.values import Val
 from ..graph import ID, PropertyGraph
 from ..lang.lexer import GqlError
-from ..lang.tree import Agg, Attr, Bin, Call, Cast, Exists, Expr, Item, Lit, Match, Query, SortKey, Value, Var, walk
+from ..lang.tree import Agg, Attr, Bin, Call, Cast, EdgeP, Exists, Expr, Item, Lit, Match, Named, NodeP, Query, Repeat, SortKey, Value, Var, walk
 from ..operators.nearest import nearest
-from .pattern import PatternPlanner, free_vars, has_subquery, natural_join, plain
+from .pattern import SELF, PatternPlanner, free_vars, has_subquery, natural_join, plain
 from .scope import Compiler, Rel, VarInfo, col, is_elementwise, spark_type
 
 
@@ -316,6 +316,7 @@ def _output(v: Val):
 
 def plan_query(graph: PropertyGraph, q: Query, limit: int | None = None) -> Planned:
     """The query as a lazy DataFrame, with warnings about what can't match or never holds."""
+    q = showing_elements(q, q.matches)
     notes: list[str] = []
     token = V.NOTES.set(notes)
     try:
@@ -326,6 +327,27 @@ def plan_query(graph: PropertyGraph, q: Query, limit: int | None = None) -> Plan
     return planned
 
 
+def element_variables(patterns: object) -> set[str]:
+    """Variables of nodes and edges outside repetitions."""
+    repeated = {x.var for r in walk(patterns) if isinstance(r, Repeat) for x in walk(r.inner) if isinstance(x, (NodeP, EdgeP))}
+    return {x.var for x in walk(patterns, into_subqueries=False) if isinstance(x, (NodeP, EdgeP)) and x.var} - repeated
+
+
+def showing_elements(q, patterns: object):
+    """Returned nodes and edges as (kind, id, labels, properties as JSON); without RETURN, all that are named."""
+    elements = element_variables(patterns)
+    shown = lambda v: Attr(Var(v), SELF)
+    if q.returns is None:
+        others = {x.var for x in walk(patterns, into_subqueries=False) if isinstance(x, (NodeP, EdgeP, Named)) and x.var} - elements
+        if isinstance(q, Query) and q.nearest is not None and q.nearest.alias:
+            others.add(q.nearest.alias)
+        if not elements | others:
+            return q
+        return replace(q, returns=[Item(shown(v) if v in elements else Var(v), v) for v in sorted(elements | others)])
+    items = [Item(shown(i.expr.name), i.alias or i.expr.name) if isinstance(i.expr, Var) and i.expr.name in elements else i for i in q.returns]
+    return replace(q, returns=items)
+
+
 def _planned(graph: PropertyGraph, q: Query, limit: int | None) -> Planned:
     planner = PatternPlanner(graph, q)
     r = run_matches(planner, q.matches)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ class GraphSession:
         self.graph = graph or PropertyGraph(spark)
         self.catalog = catalog or Catalog()
         self.warnings: list[str] = []
+        self.timeout: float | None = None
         self._saved = (self.graph.copy(), Catalog.from_json(self.catalog.to_json()))
 
     # -- opening and saving
@@ -93,6 +96,10 @@ class GraphSession:
 
         return plan_query(self.graph, translate(text, mapping)).df
 
+    def set_timeout(self, seconds: float | None) -> None:
+        """The most that a statement run by ``run_in_group`` may take; None is no limit."""
+        self.timeout = seconds
+
     def cancel(self) -> None:
         """Stops the jobs of this session's thread group; see ``run_in_group``."""
         self.spark.sparkContext.cancelJobGroup(f"loomgraph-{id(self)}")
@@ -100,7 +107,14 @@ class GraphSession:
     def run_in_group(self, text: str, limit: int = 0) -> list:
         """Collects a statement's rows as a job group that ``cancel`` (from another thread) stops."""
         self.spark.sparkContext.setJobGroup(f"loomgraph-{id(self)}", text[:200], True)
-        return self.execute(text, limit).collect()
+        timer = threading.Timer(self.timeout, self.cancel) if self.timeout else None
+        if timer:
+            timer.start()
+        try:
+            return self.execute(text, limit).collect()
+        finally:
+            if timer:
+                timer.cancel()
 
     def _rows(self, rows: list[tuple], schema: str) -> DataFrame:
         return self.spark.createDataFrame(rows, schema)

@@ -113,6 +113,12 @@ def test_errors(g, text):
 def test_column_names_and_raw_rows(g):
     assert g["chain"].execute("MATCH (a)-[e]->(b) RETURN a.name, e.p AS p").columns == ["col0", "p"]
     assert g["chain"].execute("MATCH (b)-[e]->(a)").columns == ["a", "b", "e"]
+    x = g["chain"].execute("MATCH (a {name: 'a'})-[e]->(b) RETURN a, e ORDER BY e.p").first()
+    assert (x.a.kind, x.a.labels, x.a.props) == ("node", ["N"], '{"name":"a"}') and (x.e.kind, x.e.labels, x.e.props) == ("edge", ["R"], '{"p":1}')
+    y = g["chain"].execute("MATCH (a)-[e]->(b) RETURN b, COUNT(*) AS n GROUP BY b").collect()
+    assert sorted(r.b.props for r in y) == ['{"name":"b"}', '{"name":"c"}']
+    z = g["chain"].execute("MATCH p = (a {name: 'a'})-[e]->{1,2}(b)").collect()
+    assert g["chain"].execute("MATCH p = (a)-[e]->{1,2}(b)").columns == ["a", "b", "e", "p"] and sorted(len(r.e) for r in z) == [1, 2]
     assert g["chain"].execute("MATCH (a) RETURN a.name AS n", limit=2).count() == 2
 
 

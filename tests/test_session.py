@@ -171,3 +171,10 @@ def test_shell(spark, tmp_path, capsys):
     shell.run(["MATCH (x) RETURN x.name AS n ORDER BY n", ".schema", f".save {tmp_path / 'x'}", "MATCH (", ".nope", ".quit", "MATCH (x)"])
     text = capsys.readouterr().out
     assert "n\na\nb\nc\n" in text and "(:N {name STRING})" in text and "error:" in text and "unknown command" in text
+
+
+def test_returned_elements_after_a_change_and_a_timeout(spark):
+    s = session(spark, *CHAIN)
+    assert [r.x.props for r in s.execute("MATCH (x {name: 'a'}) SET x.k = 1 RETURN x").collect()] == ['{"k":1,"name":"a"}']
+    s.set_timeout(600)
+    assert len(s.run_in_group("MATCH (x) RETURN x.name AS n")) == 3
