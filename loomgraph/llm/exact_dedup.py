@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, shared_folder, small, source_folder, text_of, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Bytes of input files that one micro-batch takes.
+#: Bytes of input files that one micro-batch takes at least, and into how many batches a larger input
+#: is cut: a batch costs every state partition a commit.
 BATCH_BYTES = 256 << 20
+BATCHES = 32
 #: Digest prefixes (8 bytes each) that are broadcast at most, to pick the hits out of the table.
 BROADCAST_HITS = 500_000
 
@@ -46,10 +48,11 @@ def _located(df: DataFrame, digest) -> DataFrame:
     return df.select(digest(text).alias("digest"), at.alias("at"), text.alias("text"))
 
 
-def stream_state(spark: SparkSession, path: str, folder: str, digest=sha, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def stream_state(spark: SparkSession, path: str, folder: str, digest=sha, batch_bytes: int | None = None) -> DataFrame:
     """(digest, keeper struct<doc_id, file, row>, n): the final state after the whole stream, whose
     checkpoint and log are in ``folder``."""
     schema = spark.read.parquet(path).schema
+    batch_bytes = batch_bytes or max(BATCH_BYTES, input_bytes(spark, path) // BATCHES)
     settings = {
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
@@ -73,12 +76,17 @@ def stream_state(spark: SparkSession, path: str, folder: str, digest=sha, batch_
     return spark.read.schema(logged + ", batch long").parquet(f"{folder}/log").groupBy("digest").agg(F.max("keeper").alias("keeper"), F.max("n").alias("n"))
 
 
+def input_bytes(spark: SparkSession, path: str) -> int:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def dedup_files(spark: SparkSession, path: str, digest=sha, batch_bytes: int = BATCH_BYTES, broadcast_hits: int = BROADCAST_HITS) -> DataFrame:
+def dedup_files(spark: SparkSession, path: str, digest=sha, batch_bytes: int | None = None, broadcast_hits: int = BROADCAST_HITS) -> DataFrame:
     """One row per record of the Parquet files at ``path`` (columns doc_id, text; others are ignored):
     doc_id, at (its locator), keep_id, group_size, kept, text_sha256.
 

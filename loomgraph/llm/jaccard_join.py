@@ -122,7 +122,7 @@ def frequent_tokens(docs: DataFrame, words: int) -> np.ndarray:
 
     counts = in_arrow(docs.select("text"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.filter(F.col("n") > FREQUENT).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token")
-    return np.sort(np.array([r[0] for r in top.collect()], np.int64).view(np.uint64))
+    return np.sort(top.toArrow().column("token").to_numpy().astype(np.int64).view(np.uint64))
 
 
 SETS = "doc_id long, cls long, n int, rare int, prefix array<long>, minima array<long>, sketch array<long>"
