@@ -173,12 +173,13 @@ def _may_differ(n: Column, m: Column, percent: int) -> Column:
 
 
 def _differing(a: Column, b: Column) -> Column:
-    """Places in which two sketches differ; the longer one is folded to the shorter one's places."""
+    """Places in which two sketches differ; one of twice the other's length is folded to its places.
+    Null if neither has the length of the other or twice as many places."""
 
     def folded(long: Column, short: Column) -> Column:
         k = F.size(short)
         halves = F.zip_with(F.slice(long, 1, k), F.slice(long, k + 1, k), lambda x, y: x.bitwiseXOR(y))
-        return F.when(F.size(long) == k, long).otherwise(halves)
+        return F.when(F.size(long) == 2 * k, halves).otherwise(long)
 
     pair = F.zip_with(folded(a, b), folded(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     return F.aggregate(pair, F.lit(0), lambda s, x: s + x)
@@ -191,7 +192,8 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, pe
     right = light.select(F.col("row").alias("b"), F.col("cls").alias("cb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     near = pairs.join(left, "a").join(right, "b")
     sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    near = near.filter(sizes).filter(_differing(F.col("sa"), F.col("sb")) <= _may_differ(F.col("na"), F.col("nb"), percent)).select("a", "b", "ca", "cb", "na", "nb")
+    may_link = F.coalesce(_differing(F.col("sa"), F.col("sb")) <= _may_differ(F.col("na"), F.col("nb"), percent), F.lit(True))
+    near = near.filter(sizes).filter(may_link).select("a", "b", "ca", "cb", "na", "nb")
     near = scratch.written(near, f"{label}-near")
     involved = near.select(F.col("a").alias("row")).unionByName(near.select(F.col("b").alias("row"))).distinct()
     wanted = scratch.written(involved.join(reps.select("row", "doc_id"), "row").select("doc_id").distinct(), f"{label}-involved")

@@ -279,6 +279,20 @@ def test_sketches_never_differ_more_than_the_sets(spark):
         assert int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) <= len(np.setxor1d(a, b))
 
 
+@pytest.mark.parametrize(("n", "m"), [(120, 135), (250, 262), (1020, 1030)])
+def test_sketches_of_two_lengths_are_compared(spark, n, m):
+    tokens = np.unique(np.random.default_rng(n).integers(0, 1 << 62, 2 * m, dtype=np.uint64))[:m]
+    sketches = [jaccard_join.sketch(tokens[:k]).tolist() for k in (n, m)]
+    assert 2 * len(sketches[0]) == len(sketches[1])
+    both = spark.createDataFrame([(*sketches,)], "a array<long>, b array<long>")
+    there, back = both.select(jaccard_join._differing(F.col("a"), F.col("b")), jaccard_join._differing(F.col("b"), F.col("a"))).first()
+    assert there == back and 0 < there <= m - n
+    words = [f"w{k}" for k in range(m + 3)]  # shingles of four words
+    rows = [(5, " ".join(words[: n + 3])), (6, " ".join(words)), (7, "another text of its own")]
+    out = jaccard_join.jaccard_components(docs(spark, [(i, t, "s") for i, t in rows]), 4, 85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute_components(rows, 4, 85) == [(5, n, 5), (6, m, 5), (7, 2, 7)]
+
+
 def test_connected_components(spark):
     rnd = random.Random(4)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)] + [(5, 5)]
