@@ -156,6 +156,31 @@ _add("nearest_in_pattern", "MATCH (v:Vec {label: 3}), (w:Vec {key: 5}) NEAREST 7
 _add("nearest_per_anchor", "MATCH (w:Vec {label: 1}), (v:Vec {label: 2}) NEAREST 2 v.emb TO VECTOR(w, 'emb') RETURN w.key AS w, v.key AS v", "SELECT w, v FROM (SELECT a.vec_id::BIGINT AS w, b.vec_id::BIGINT AS v, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(b.embedding::DOUBLE[], a.embedding::DOUBLE[]), b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.label = 1 AND b.label = 2) WHERE r <= 2")
 _add("events_per_customer", "MATCH (c:Customer)-[:DID]->(e:Event) RETURN c.mktsegment AS s, e.type AS t, COUNT(*) AS n, ROUND(SUM(e.value)) AS v GROUP BY c.mktsegment, e.type", "SELECT c_mktsegment AS s, event_type AS t, count(*) AS n, round(sum(value)) AS v FROM events JOIN customer ON c_custkey = user_id GROUP BY 1, 2")
 
+# the queries above that are bound to a few keys, over all of them
+_add("cartesian_whole", "MATCH (r:Region), (n:Nation) RETURN r.name AS r, n.name AS n", "SELECT r_name AS r, n_name AS n FROM region, nation")
+_add(
+    "optional_correlated_whole",
+    "MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE o.totalprice > c.acctbal * 60 RETURN c.key AS c, o.key AS o",
+    "SELECT c_custkey AS c, o_orderkey AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > c_acctbal * 60",
+)
+_add(
+    "value_argmax_whole",
+    "MATCH (c:Customer) RETURN c.key AS c, VALUE { MATCH (c)-[:PLACED]->(o:Order) RETURN o.key ORDER BY o.totalprice DESC, o.key LIMIT 1 } AS best",
+    """SELECT c_custkey AS c, o_orderkey AS best
+       FROM customer LEFT JOIN (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) ON o_custkey = c_custkey AND r = 1""",
+)
+_add("shortest_len_whole", "MATCH p = ANY SHORTEST (a:Nation)-[:ROUTE]->+(b:Nation) RETURN a.key AS a, b.key AS b, PATH_LENGTH(p) AS len", _DIST + " SELECT s AS a, t AS b, min(len)::BIGINT AS len FROM d WHERE len > 0 GROUP BY s, t")
+_add(
+    "shortest_k_groups_whole",
+    "MATCH p = SHORTEST 2 GROUPS (a:Nation)-[:ROUTE]->*(b:Nation) RETURN a.key AS a, b.key AS b, PATH_LENGTH(p) AS len, COUNT(*) AS n GROUP BY a.key, b.key, len",
+    _DIST + " SELECT s AS a, t AS b, len, ways AS n FROM (SELECT s, t, len, ways, dense_rank() OVER (PARTITION BY s, t ORDER BY len) AS r FROM d) WHERE r <= 2",
+)
+_add(
+    "shortest_k_paths_whole",
+    "MATCH p = SHORTEST 3 (a:Nation)-[:ROUTE]->*(b:Nation) RETURN a.key AS a, b.key AS b, COUNT(*) AS n, MIN(PATH_LENGTH(p)) AS low GROUP BY a.key, b.key",
+    _DIST + " SELECT s AS a, t AS b, least(3, sum(ways))::BIGINT AS n, min(len)::BIGINT AS low FROM d GROUP BY s, t",
+)
+
 
 #: name -> (statements, final query, SQL of the state after them)
 CHANGES: dict[str, tuple[list[str], str, str]] = {

@@ -46,3 +46,9 @@ def test_properties_are_read_late_and_filters_reach_the_scan(spark, sf):
 def test_a_node_that_adds_nothing_is_not_scanned(spark, sf):
     df = workload.QUERIES["one_hop_count"](spark, sf)
     assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+@pytest.mark.parametrize(("name", "column", "table", "key"), [("value_argmax", "c", "customer", "c_custkey"), ("optional_correlated", "c", "customer", "c_custkey"), ("shortest_len", "a", "nation", "n_nationkey"), ("shortest_k_groups", "b", "nation", "n_nationkey"), ("shortest_k_paths", "b", "nation", "n_nationkey"), ("cartesian", "n", "nation", "n_name")])
+def test_bound_queries_have_one_over_all_keys(spark, sf, name, column, table, key):
+    got = workload.QUERIES[f"{name}_whole"](spark, sf).select(column).distinct()
+    assert {r[0] for r in got.collect()} == {r[0] for r in spark.read.parquet(f"{sf}/{table}.parquet").select(key).collect()}
