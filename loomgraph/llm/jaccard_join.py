@@ -196,9 +196,9 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, pe
     near = near.filter(sizes).filter(may_link).select("a", "b", "ca", "cb", "na", "nb")
     near = scratch.written(near, f"{label}-near")
     involved = near.select(F.col("a").alias("row")).unionByName(near.select(F.col("b").alias("row"))).distinct()
-    wanted = scratch.written(involved.join(reps.select("row", "doc_id"), "row").select("doc_id").distinct(), f"{label}-involved")
+    wanted = scratch.written(involved.join(reps.select("row", "cls", "doc_id"), "row").select("cls", "doc_id"), f"{label}-involved")
     # a repeated doc_id may bring other texts along: the numbers of their sets tell
-    sets = scratch.written(_class_sets(docs.join(small(wanted, BROADCAST_ROWS), "doc_id", "left_semi"), words), f"{label}-sets").dropDuplicates(["cls"])
+    sets = scratch.written(_sets_of(wanted, docs, words), f"{label}-sets").dropDuplicates(["cls"])
     both = near.join(sets.select(F.col("cls").alias("ca"), F.col("tokens").alias("ta")), "ca").join(sets.select(F.col("cls").alias("cb"), F.col("tokens").alias("tb")), "cb")
     both = both.withColumn("shared", F.size(F.array_intersect("ta", "tb"))).filter(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared")))
     return scratch.written(both.select(F.col("a").alias("u"), F.col("b").alias("v")), f"{label}-links")
@@ -218,6 +218,17 @@ def _class_sets(docs: DataFrame, words: int) -> DataFrame:
     return in_arrow(docs.select("text"), run, "cls long, tokens array<long>")
 
 
+def _sets_of(wanted: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(cls, tokens) of the documents that wanted(cls, doc_id, ...), a written table, names. Where
+    doc_id is null, as in a class of which no row has one, they are found by their sets' numbers."""
+    named = wanted.filter("doc_id is not null").select("doc_id").distinct()
+    sets = _class_sets(docs.join(small(named, BROADCAST_ROWS), "doc_id", "left_semi"), words)
+    nameless = wanted.filter("doc_id is null").select("cls").distinct()
+    if nameless.limit(1).count():
+        sets = sets.unionByName(_class_sets(docs.filter("doc_id is null"), words).join(small(nameless, BROADCAST_ROWS), "cls", "left_semi"))
+    return sets
+
+
 def _row_pairs(n: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All i < j below n, about ``most`` at a time."""
     if n * n <= 2 * most:
@@ -293,8 +304,7 @@ def _opened(asks: DataFrame, groups: DataFrame, reps: DataFrame, docs: DataFrame
     asked = groups.join(asks.select("grp").distinct(), "grp", "left_semi")
     involved = asked.select("row").unionByName(asks.select(F.col("a").alias("row"))).distinct().join(reps.select("row", "cls", "doc_id"), "row")
     involved = scratch.written(involved, "asked")
-    wanted = small(involved.select("doc_id").distinct(), BROADCAST_ROWS)
-    sets = _class_sets(docs.join(wanted, "doc_id", "left_semi"), words)
+    sets = _sets_of(involved, docs, words)
     sets = scratch.written(sets.join(involved.select("row", "cls"), "cls").dropDuplicates(["row"]).select("row", "tokens"), "asked-sets")
     parts = F.ceil(F.col("members") / PART).cast("int")
     inside = asked.withColumn("part", F.pmod(F.xxhash64("row"), parts).cast("int")).select("grp", "part", F.lit(0).alias("role"), "row")
@@ -346,8 +356,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     scratch = Scratch(docs.sparkSession)
     last = frequent_tokens(docs, words)
     sets = scratch.written(document_sets(docs, words, percent, last).withColumn("row", F.monotonically_increasing_id()), "sets")
-    # one row stands for a class
-    classes = scratch.written(sets.filter("n > 0").groupBy("cls").agg(F.min("row").alias("rep"), F.min("doc_id").alias("first_doc")), "classes")
+    # one row stands for a class, one with a doc_id if there is any
+    rep = F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), F.col("row"))), F.min("row"))
+    classes = scratch.written(sets.filter("n > 0").groupBy("cls").agg(rep.alias("rep"), F.min("doc_id").alias("first_doc")), "classes")
     doubles = sets.filter("n > 0").join(classes.select("cls", "rep"), "cls").filter("row != rep").select("row")
     reps = sets.filter("n > 0").join(small(scratch.written(doubles, "doubles"), BROADCAST_ROWS), "row", "left_anti")
 

@@ -266,6 +266,18 @@ def test_join_edges(spark):
     assert Counter(r.text for r in kept.collect())["one two"] == 1 and kept.count() == 6
 
 
+@pytest.mark.parametrize("large", [False, True])
+def test_near_copies_of_texts_without_a_doc_id(spark, monkeypatch, large):
+    if large:  # groups are opened as a whole
+        monkeypatch.setattr(jaccard_join, "SMALL_GROUP", 0)
+    words = [f"w{k}" for k in range(60)]
+    text, near, far = " ".join(words), " ".join(words[:-2]), " ".join(f"v{k}" for k in range(60))
+    rows = [(None, text, "s"), (5, text, "s"), (6, near, "s"), (None, far, "s"), (None, far, "s"), (7, far + " x", "s"), (None, "alone", "s")]
+    out = jaccard_join.jaccard_components(docs(spark, rows).coalesce(1), 4, 85).collect()
+    found = Counter((r.doc_id, r.n_shingles, r.component_id) for r in out)
+    assert found == Counter([(None, 57, 5), (5, 57, 5), (6, 55, 5), (None, 57, 7), (None, 57, 7), (7, 58, 7), (None, 1, None)])
+
+
 def test_sketches_never_differ_more_than_the_sets(spark):
     rng = np.random.default_rng(0)
     for n in (1, 5, 100, 3000):
