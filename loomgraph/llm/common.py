@@ -140,8 +140,31 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+#: A word with the white space around it.
+_WORD_AND_WHITE = r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+"
+
+
 def word_count(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).cast("long")
+    """Words of a text: each is replaced by a letter, and the letters are counted. No word becomes a
+    value of its own, so a long text costs one short string."""
+    return F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.length(F.regexp_replace(text, _WORD_AND_WHITE, "x"))).otherwise(0).cast("long")
+
+
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores put before those that clash with a column (case aside)."""
+    used = {c.lower() for c in taken}
+    out = []
+    for n in names:
+        while n.lower() in used:
+            n = f"_{n}"
+        used.add(n.lower())
+        out.append(n)
+    return out
+
+
+def named(columns: list[str]) -> list[Column]:
+    """The columns by their names, whatever marks these hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
 
 
 def shards_for(n_bytes: int, each: int) -> int:

@@ -15,15 +15,19 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, shared_folder, small, source_folder, text_of, written
+from .common import Scratch, free_names, named, shared_folder, small, source_folder, text_of, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Bytes of input files that one micro-batch takes at least, and into how many batches a larger input
 #: is cut: a batch costs every state partition a commit.
 BATCH_BYTES = 256 << 20
 BATCHES = 32
+#: Memory outside the heap that the state stores of one executor share, in MB.
+STATE_MB = 192
 #: Digest prefixes (8 bytes each) that are broadcast at most, to pick the hits out of the table.
 BROADCAST_HITS = 500_000
+#: Places of dropped rows (a path and a number) that are broadcast at most, to leave them out of the table.
+BROADCAST_DROPPED = 200_000
 
 
 @contextmanager
@@ -57,11 +61,13 @@ def stream_state(spark: SparkSession, path: str, folder: str, digest=sha, batch_
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+        # the stores of an executor share one bounded cache, and leave its memory with their task
+        "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": str(STATE_MB),
+        "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     }
     with session_settings(spark, **settings):
-        # as a pattern, the path may name one file as well as a folder
-        pattern = f"{path[:-1]}[{path[-1]}]"
-        stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(pattern)
+        stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(as_pattern(path))
         state = _located(stream, digest).groupBy("digest").agg(F.max("at").alias("keeper"), F.count(F.lit(1)).alias("n"))
 
         def log(changed: DataFrame, batch: int) -> None:
@@ -76,6 +82,13 @@ def stream_state(spark: SparkSession, path: str, folder: str, digest=sha, batch_
     return spark.read.schema(logged + ", batch long").parquet(f"{folder}/log").groupBy("digest").agg(F.max("keeper").alias("keeper"), F.max("n").alias("n"))
 
 
+def as_pattern(path: str) -> str:
+    """A pattern that matches the path alone: as a pattern, it may name one file as well as a folder."""
+    path = path.rstrip("/") or path
+    plain = "".join(f"\\{c}" if c in "{}[]*?\\" else c for c in path)
+    return plain if plain != path else f"{path[:-1]}[{path[-1]}]" if path[-1].isalnum() else f"{path[:-1]}{{{path[-1]}}}"
+
+
 def input_bytes(spark: SparkSession, path: str) -> int:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
@@ -126,15 +139,15 @@ def dedup_files(spark: SparkSession, path: str, digest=sha, batch_bytes: int | N
 def without_copies(docs: DataFrame) -> DataFrame:
     """The rows of documents(doc_id, text, ...) that stay, with all their columns: one of each text,
     that of the largest doc_id. Rows that aren't a Parquet table are written to the shared folder, and
-    streamed from there."""
+    streamed from there. Nulls and ties go as in dedup_files; columns may have any names."""
     spark = docs.sparkSession
     path = source_folder(docs)
     if path is None:
         path = shared_folder(spark, "dedup-input")
         docs.write.parquet(path)
     found = dedup_files(spark, path)
-    place = F.xxhash64("at.file", "at.row")
-    dropped = written(found.filter("not kept").select(place.alias("__place")), "dedup-dropped")
+    file, row = free_names(docs.columns, "__file", "__row")
+    dropped = written(found.filter("not kept").select(F.col("at.file").alias(file), F.col("at.row").alias(row)), "dedup-dropped")
     rows = spark.read.schema(docs.schema).parquet(path)
-    placed = rows.withColumn("__place", F.xxhash64("_metadata.file_path", "_metadata.row_index"))
-    return placed.join(small(dropped, BROADCAST_HITS), "__place", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    placed = rows.withColumns({file: F.col("_metadata.file_path"), row: F.col("_metadata.row_index")})
+    return placed.join(small(dropped, BROADCAST_DROPPED), [file, row], "left_anti").select(*named(docs.columns))

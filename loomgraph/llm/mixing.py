@@ -9,10 +9,10 @@ budget takes a subset of a larger one's records).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, text_of, word_count, written
+from .common import free_names, named, small, text_of, word_count, written
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -88,6 +88,19 @@ def mix_limits(records: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS) ->
     return written(plan.join(edge, "skey", "left"), "mix-limits")
 
 
+def _mixed(limit, h: Column, size: Column, most: int) -> tuple[Column, Column]:
+    """(taken, copies) of a record of hash ``h`` under its source's limits, ``limit(name)`` each."""
+    full = limit("rest") > 0
+    below = F.coalesce(h < limit("threshold"), full)
+    at = F.coalesce(h == limit("threshold"), F.lit(False))
+    alone = F.when(limit("edge_rest") * 2 >= limit("edge_size"), size).otherwise(0)
+    shared = F.floor(size * limit("edge_rest") / limit("edge_size"))
+    at_edge = F.when(limit("edge_rows") == 1, alone).otherwise(shared)
+    extra = F.when(at, at_edge).when(below, size).otherwise(0).cast("long")
+    more = F.when(at, at_edge * 2 >= size).otherwise(below) & (limit("whole") < most)
+    return limit("whole") * size + extra, (limit("whole") + more.cast("long")).cast("int")
+
+
 def take_records(records: DataFrame, limits: DataFrame, most: int = MOST_REPEATS) -> DataFrame:
     """Adds source_size, target, copies, taken to records(skey, h, size, ...).
 
@@ -96,17 +109,8 @@ def take_records(records: DataFrame, limits: DataFrame, most: int = MOST_REPEATS
     single record there is taken if that brings the source nearer its target.
     """
     out = records.join(small(limits, BROADCAST_SOURCES), "skey")
-    full = F.col("rest") > 0
-    below = F.coalesce(F.col("h") < F.col("threshold"), full)
-    at = F.coalesce(F.col("h") == F.col("threshold"), F.lit(False))
-    alone = F.when(F.col("edge_rest") * 2 >= F.col("edge_size"), F.col("size")).otherwise(0)
-    shared = F.floor(F.col("size") * F.col("edge_rest") / F.col("edge_size"))
-    extra = F.when(at, F.when(F.col("edge_rows") == 1, alone).otherwise(shared)).when(below, F.col("size")).otherwise(0).cast("long")
-    out = out.withColumn("__extra", extra)
-    out = out.withColumn("taken", F.col("whole") * F.col("size") + F.col("__extra"))
-    more = F.when(at, F.col("__extra") * 2 >= F.col("size")).otherwise(below) & (F.col("whole") < most)
-    out = out.withColumn("copies", (F.col("whole") + more.cast("long")).cast("int"))
-    return out.drop("__extra", "rest", "whole", "threshold", "edge_rest", "edge_size", "edge_rows")
+    taken, copies = _mixed(F.col, F.col("h"), F.col("size"), most)
+    return out.withColumns({"taken": taken, "copies": copies}).drop("rest", "whole", "threshold", "edge_rest", "edge_size", "edge_rows")
 
 
 def source_key(source):
@@ -130,10 +134,16 @@ def mix_documents(docs: DataFrame, seed: int = 0, weights=WEIGHTS, most: int = M
 def mixed_rows(docs: DataFrame, seed: int = 0, weights=WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
     """The rows of the mix, with the columns of ``docs``: each row as often as it is taken.
 
-    The rows themselves are not shuffled; only (source, hash, size) of each is written for the
-    histograms. Edge cases as in mix_documents.
+    The rows themselves are neither shuffled nor copied into structs; only (source, hash, size) of
+    each is written for the histograms. Edge cases as in mix_documents; any names of other columns do.
     """
-    keyed = docs.select(source_key(F.col("source")).alias("skey"), record_hash(F.col("doc_id"), seed).alias("h"), word_count(text_of()).alias("size"), F.struct("*").alias("__row"))
-    limits = mix_limits(written(keyed.select("skey", "h", "size"), "mix-records"), weights, most)
-    taken = take_records(keyed, limits, most).filter("copies > 0")
-    return taken.select(F.explode(F.array_repeat("__row", F.col("copies"))).alias("__row")).select("__row.*")
+    skey, h, size = source_key(F.col("source")), record_hash(F.col("doc_id"), seed), word_count(text_of())
+    limits = mix_limits(written(docs.select(skey.alias("skey"), h.alias("h"), size.alias("size")), "mix-records"), weights, most)
+    numbers = ["rest", "whole", "threshold", "edge_rest", "edge_size", "edge_rows"]
+    own = free_names(docs.columns, "__skey", "__limits", "__copies")
+    packed = limits.select(F.col("skey").alias(own[0]), F.struct(*numbers).alias(own[1]))
+    # the rows pass by once: beside each stand its source's limits, and words are only counted at a threshold
+    joined = docs.withColumn(own[0], skey).join(small(packed, BROADCAST_SOURCES), own[0])
+    _, copies = _mixed(lambda n: F.col(own[1])[n], h, size, most)
+    joined = joined.select(*named(docs.columns), copies.alias(own[2])).filter(F.col(own[2]) > 0)
+    return joined.withColumn(own[2], F.explode(F.sequence(F.lit(1), F.col(own[2])))).select(*named(docs.columns))
