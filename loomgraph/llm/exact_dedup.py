@@ -15,13 +15,16 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_names, named, shared_folder, small, source_folder, text_of, written
+from .common import Scratch, free_names, named, shards_for, shared_folder, small, source_folder, text_of, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Bytes of input files that one micro-batch takes at least, and into how many batches a larger input
 #: is cut: a batch costs every state partition a commit.
 BATCH_BYTES = 256 << 20
 BATCHES = 32
+#: Bytes of input files for each state partition, and partitions at least.
+PART_BYTES = 64 << 20
+LEAST_PARTS = 8
 #: Memory outside the heap that the state stores of one executor share, in MB.
 STATE_MB = 192
 #: Digest prefixes (8 bytes each) that are broadcast at most, to pick the hits out of the table.
@@ -56,15 +59,19 @@ def stream_state(spark: SparkSession, path: str, folder: str, digest=sha, batch_
     """(digest, keeper struct<doc_id, file, row>, n): the final state after the whole stream, whose
     checkpoint and log are in ``folder``."""
     schema = spark.read.parquet(path).schema
-    batch_bytes = batch_bytes or max(BATCH_BYTES, input_bytes(spark, path) // BATCHES)
+    total = input_bytes(spark, path)
+    batch_bytes = batch_bytes or max(BATCH_BYTES, total // BATCHES)
+    # a stream keeps its number of state partitions for life: it follows the input up to the session's own
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(LEAST_PARTS, shards_for(total, PART_BYTES)))
     settings = {
+        "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",
-        # the stores of an executor share one bounded cache, and leave its memory with their task
+        # the stores of an executor share one bounded memory, and back up what changed, not whole files
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": str(STATE_MB),
-        "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     }
     with session_settings(spark, **settings):
         stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(as_pattern(path))

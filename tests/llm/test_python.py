@@ -247,9 +247,10 @@ def near_copies(seed, bases=6, copies=25, edits=8, length=120):
 @pytest.mark.parametrize(("words", "percent", "seed"), [(4, 85, 1), (5, 80, 2), (2, 60, 3)])
 def test_components_against_all_pairs(spark, monkeypatch, words, percent, seed):
     rows = near_copies(seed) + [(1000, None), (1001, ""), (1002, " \n"), (1003, "a"), (1004, "A"), (1005, "a b")]
-    monkeypatch.setattr(jaccard_join, "SMALL_GROUP", 3)  # so that groups are opened as a whole
-    monkeypatch.setattr(jaccard_join, "PART", 4)
+    monkeypatch.setattr(jaccard_join, "PART", 4)  # so that groups, those that ask and long rows are split
+    monkeypatch.setattr(jaccard_join, "ASKING", 4)
     monkeypatch.setattr(jaccard_join, "FREQUENT", 5)
+    monkeypatch.setattr(jaccard_join, "LONG_ROW", 8)
     df = docs(spark, [(i, t, "s") for i, t in rows]).repartition(3)
     out = jaccard_join.jaccard_components(df, words, percent).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute_components(rows, words, percent)
@@ -266,10 +267,7 @@ def test_join_edges(spark):
     assert Counter(r.text for r in kept.collect())["one two"] == 1 and kept.count() == 6
 
 
-@pytest.mark.parametrize("large", [False, True])
-def test_near_copies_of_texts_without_a_doc_id(spark, monkeypatch, large):
-    if large:  # groups are opened as a whole
-        monkeypatch.setattr(jaccard_join, "SMALL_GROUP", 0)
+def test_near_copies_of_texts_without_a_doc_id(spark):
     words = [f"w{k}" for k in range(60)]
     text, near, far = " ".join(words), " ".join(words[:-2]), " ".join(f"v{k}" for k in range(60))
     rows = [(None, text, "s"), (5, text, "s"), (6, near, "s"), (None, far, "s"), (None, far, "s"), (7, far + " x", "s"), (None, "alone", "s")]
@@ -278,33 +276,45 @@ def test_near_copies_of_texts_without_a_doc_id(spark, monkeypatch, large):
     assert found == Counter([(None, 57, 5), (5, 57, 5), (6, 55, 5), (None, 57, 7), (None, 57, 7), (7, 58, 7), (None, 1, None)])
 
 
-def test_sketches_never_differ_more_than_the_sets(spark):
-    rng = np.random.default_rng(0)
-    for n in (1, 5, 100, 3000):
-        a = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
-        b = np.unique(np.concatenate([a[: max(1, n - n // 10)], rng.integers(0, 1 << 62, n // 10, dtype=np.uint64)]))
-        x, y = jaccard_join.sketch(a), jaccard_join.sketch(b)
-        if len(x) < len(y):
-            x, y = y, x
-        while len(x) > len(y):
-            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-        assert int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) <= len(np.setxor1d(a, b))
+@pytest.mark.parametrize(("n", "m"), [(1, 1), (5, 6), (120, 135), (250, 262), (1020, 1030), (300, 3000)])
+def test_bits_never_miss_more_than_the_sets(spark, n, m):
+    tokens = np.unique(np.random.default_rng(n).integers(0, 1 << 62, 2 * m, dtype=np.uint64))
+    a, b = tokens[:n], tokens[n // 4 : n // 4 + m]
+    bits = [jaccard_join.token_bits(x).tolist() for x in (a, b)]
+    row = spark.createDataFrame([(*bits,)], "a array<long>, b array<long>")
+    there, back, none = row.select(*[jaccard_join.missing_at_least(F.col(x), F.col(y)) for x, y in ("ab", "ba", "aa")]).first()
+    assert there <= len(np.setdiff1d(a, b)) and back <= len(np.setdiff1d(b, a)) and none == 0
+    assert n < 100 or m > 2 * n or there > 0.2 * len(np.setdiff1d(a, b))  # few places are free in a much larger set
+
+
+def test_group_unions_hold_all_bits(spark):
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 1 << 62, k, dtype=np.uint64)) for k in (30, 40, 100, 500, 20)]
+    light = spark.createDataFrame([(k, len(x), jaccard_join.token_bits(x).tolist()) for k, x in enumerate(sets)], "row long, n int, bits array<long>")
+    members = spark.createDataFrame([(0, 0), (0, 1), (0, 2), (3, 3), (3, 4)], "grp long, row long")
+    out = {r.grp: r for r in jaccard_join.group_unions(members, light).collect()}
+    assert [(out[g].members, out[g].n_min, out[g].n_max) for g in (0, 3)] == [(3, 30, 100), (2, 20, 500)]
+    for g, rows in ((0, (0, 1, 2)), (3, (3, 4))):
+        held = np.array(out[g].bits, np.int64).view(np.uint64)
+        for k in rows:
+            at = (text_arrays.mix(sets[k]) & np.uint64(64 * len(held) - 1)).astype(np.int64)
+            assert all(int(held[x >> 6]) >> (x & 63) & 1 for x in at.tolist())
 
 
 @pytest.mark.parametrize(("n", "m"), [(120, 135), (250, 262), (1020, 1030)])
-def test_sketches_of_two_lengths_are_compared(spark, n, m):
-    tokens = np.unique(np.random.default_rng(n).integers(0, 1 << 62, 2 * m, dtype=np.uint64))[:m]
-    sketches = [jaccard_join.sketch(tokens[:k]).tolist() for k in (n, m)]
-    assert 2 * len(sketches[0]) == len(sketches[1])
-    both = spark.createDataFrame([(*sketches,)], "a array<long>, b array<long>")
-    there, back = both.select(jaccard_join._differing(F.col("a"), F.col("b")), jaccard_join._differing(F.col("b"), F.col("a"))).first()
-    assert there == back and 0 < there <= m - n
+def test_sets_of_unlike_sizes_link(spark, n, m):
     words = [f"w{k}" for k in range(m + 3)]  # shingles of four words
     rows = [(5, " ".join(words[: n + 3])), (6, " ".join(words)), (7, "another text of its own")]
     out = jaccard_join.jaccard_components(docs(spark, [(i, t, "s") for i, t in rows]), 4, 85).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute_components(rows, 4, 85) == [(5, n, 5), (6, m, 5), (7, 2, 7)]
 
 
+def test_join_query_against_all_pairs(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    out = queries.op5_jaccard_join(spark, sf).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute_components(rows, 4, 85)
+
+
 def test_connected_components(spark):
     rnd = random.Random(4)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)] + [(5, 5)]
