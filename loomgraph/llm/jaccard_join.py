@@ -185,12 +185,13 @@ def missing_at_least(own: Column, union: Column) -> Column:
     return F.aggregate(gaps, F.lit(0), lambda s, x: s + x)
 
 
-def group_unions(members: DataFrame, light: DataFrame) -> DataFrame:
+def group_unions(members: DataFrame, light: DataFrame, scratch: Scratch) -> DataFrame:
     """(grp, members, n_min, n_max, bits) of members(grp, row): the bits of each group's token union, and
     its sizes. Words of bits are combined before they are shuffled, however large a group is."""
     own = members.join(light, "row")
     shape = own.groupBy("grp").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min(F.size("bits")).alias("places"))
-    words = own.select("grp", F.posexplode("bits").alias("at", "word")).join(shape.select("grp", "places"), "grp")
+    shape = scratch.written(shape, "group-shapes")
+    words = own.select("grp", F.posexplode("bits").alias("at", "word")).join(small(shape.select("grp", "places"), BROADCAST_ROWS), "grp")
     words = words.groupBy("grp", F.pmod("at", "places").alias("at")).agg(F.bit_or("word").alias("word"))
     bits = words.groupBy("grp").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]).alias("bits"))
     return shape.drop("places").join(bits, "grp")
@@ -437,7 +438,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     star = scratch.written(qualifying(star, light, alone, percent), "star")
     first_links = opened(star, star.select("grp", F.col("grp").alias("row")).distinct(), reps, docs, words, percent, scratch, "star")
     members = scratch.written(components(first_links).select(F.col("label").alias("grp"), F.col("node").alias("row")), "members")
-    unions = group_unions(members, light)
+    unions = group_unions(members, light, scratch)
     single = light.join(members.select("row"), "row", "left_anti")
     single = single.select(F.col("row").alias("grp"), F.lit(1).cast("long").alias("members"), F.col("n").alias("n_min"), F.col("n").alias("n_max"), "bits")
     groups = scratch.written(unions.unionByName(single), "groups")

@@ -1,20 +1,22 @@
 """Packing token sequences into bins of a fixed length by swap-based local search.
 
 Documents become token ids and an end id; only documents longer than a bin are cut. The pieces are
-dealt out by a hash into groups of bounded size, and each group is packed by itself: a first packing
-by decreasing length, then a local search that works on the emptiest bin again and again and moves
-its pieces out - a move of one piece, an exchange of one for one, or of two for one - whenever that
-increases the sum of squared fills, until the bin is empty or nothing in it can move. A group's bins
-fall short of its lower bound by a bin or so, whatever the number of groups.
+dealt out by a hash into groups of bounded size, and each group is packed by itself: first plainly,
+each piece in turn into the last bin or a new one, then by local search. The search takes the fullest
+bin that has room and, as long as it finds one, makes the step that brings it the most length from
+bins that are no fuller: a piece moves, or is exchanged one for one, or two for one. So every step
+raises the sum of squared fills, and the emptiest bins lose piece after piece until they are empty.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ from .common import in_arrow, shards_for, written
 BIN = 2048
 #: Pieces that are packed together, in one task's memory.
 GROUP_PIECES = 8192
+#: Of so many of the emptiest bins, pairs of pieces are tried in an exchange of two for one.
+PAIR_BINS = 32
 #: Words whose ids a worker remembers; then it starts afresh.
 REMEMBERED = 1_000_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -49,11 +53,30 @@ class _Words(dict):
         return ids
 
 
+# How a tokenizer's file says that it lower-cases, drops white space and never joins words.
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def word_by_word(path: str) -> bool:
+    """Whether a text's ids are those of its words one after the other, by the tokenizer's own file."""
+    with open(path, encoding="utf-8") as f:
+        parts = json.load(f)
+    added = all(not any(c.isspace() for c in x["content"]) and not x["lstrip"] and not x["rstrip"] for x in parts["added_tokens"])
+    return added and parts["normalizer"] == WORD_NORMALIZER and parts["pre_tokenizer"] == WORD_SPLIT and parts["post_processor"] is None
+
+
 class WordEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes, word by word.
+    """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    For tokenizers that lower case and drop white space: no token and no special string spans a space
-    or a line break, so a text's ids are those of its words, and a word is encoded once.
+    With a tokenizer that is told to go word by word, a text's ids are those of its words, and a word
+    is encoded once; with any other, whole texts are encoded.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -63,9 +86,12 @@ class WordEncoder:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        self.remembered, self.known = remembered, _Words(tokenizer.encode)
+        self.words = word_by_word(path)
+        self.tokenizer, self.remembered, self.known = tokenizer, remembered, _Words(tokenizer.encode)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.words:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         known = self.known
         if len(known) > self.remembered:
             known.clear()
@@ -110,103 +136,94 @@ def document_pieces(docs: DataFrame, tokenizer: str, most: int = BIN, end_id: in
     return in_arrow(plain, cut, PIECE + ", ids binary" * with_ids)
 
 
-class _Bins:
-    """Bins of pieces, by the lengths of the pieces; bins with room are kept in order of their room."""
+Piece = tuple[int, int]  # (length, number)
 
-    def __init__(self, size: int):
-        self.size = size
-        self.items: list[list[tuple[int, int]]] = []  # of each bin: (length, piece), sorted
-        self.fill: list[int] = []
-        self.open: list[tuple[int, int]] = []  # (room, bin) of bins that are neither full nor empty
 
-    def _listed(self, b: int) -> bool:
-        return 0 < self.fill[b] < self.size
+class Bins:
+    """Pieces in bins, at first in turn. A bin at work is taken out of ``open``; ``loose`` has the pieces
+    of the bins that are in it."""
 
-    def change(self, b: int, out: tuple = (), into: tuple = ()) -> None:
-        if self._listed(b):
-            del self.open[bisect_left(self.open, (self.size - self.fill[b], b))]
-        for x in out:
-            del self.items[b][bisect_left(self.items[b], x)]
+    def __init__(self, lengths: list[int], size: int):
+        self.size = size
+        self.items: list[list[Piece]] = []
+        self.fill: list[int] = []
+        self.home = [0] * len(lengths)  # of each piece: its bin
+        for i, n in enumerate(lengths):
+            if not self.items or self.fill[-1] + n > size:
+                self.items.append([])
+                self.fill.append(0)
+            self.items[-1].append((n, i))
+            self.fill[-1] += n
+            self.home[i] = len(self.items) - 1
+        self.open = sorted((f, b) for b, f in enumerate(self.fill) if f < size)
+        self.loose = sorted(x for _, b in self.open for x in self.items[b])
+        self.steps = {"move": 0, "one for one": 0, "two for one": 0}
+
+    def take_fullest(self) -> int:
+        _, b = self.open.pop()
+        for x in self.items[b]:
+            del self.loose[bisect_left(self.loose, x)]
+        return b
+
+    def _longest(self, most: int) -> Piece | None:
+        k = bisect_left(self.loose, (most + 1, -1)) - 1
+        return self.loose[k] if k >= 0 else None
+
+    def best_step(self, b: int) -> tuple[int, tuple[Piece, ...], tuple[Piece, ...]]:
+        """(length gained, pieces out, pieces in) of the step that brings bin b the most."""
+        room = self.size - self.fill[b]
+        best: tuple[int, tuple[Piece, ...], tuple[Piece, ...]] = (0, (), ())
+        if x := self._longest(room):
+            best = (x[0], (), (x,))
+        for y in self.items[b]:
+            if best[0] < room and (x := self._longest(y[0] + room)) and x[0] - y[0] > best[0]:
+                best = (x[0] - y[0], (y,), (x,))
+        if best[0] < room:  # two pieces of one bin, one of the emptiest, for one of this
+            for _, s in self.open[:PAIR_BINS]:
+                for first, second in combinations(self.items[s], 2):
+                    both = first[0] + second[0]
+                    for y in self.items[b]:
+                        if best[0] < both - y[0] <= room:
+                            best = (both - y[0], (y,), (first, second))
+        return best
+
+    def exchange(self, b: int, out: tuple[Piece, ...], into: tuple[Piece, ...]) -> None:
+        """``into``, of one open bin, goes to bin b, which is not open; ``out`` goes the other way."""
+        s = self.home[into[0][1]]
+        del self.open[bisect_left(self.open, (self.fill[s], s))]
         for x in into:
-            insort(self.items[b], x)
-        self.fill[b] += sum(x[0] for x in into) - sum(x[0] for x in out)
-        if self._listed(b):
-            insort(self.open, (self.size - self.fill[b], b))
-
-    def new(self) -> int:
-        self.items.append([])
-        self.fill.append(0)
-        return len(self.fill) - 1
-
-    def best_fit(self, item: tuple[int, int], but: int = -1) -> int | None:
-        """The bin with the least room that the piece fits in."""
-        for k in range(bisect_left(self.open, (item[0], -1)), len(self.open)):
-            if self.open[k][1] != but:
-                return self.open[k][1]
-        return None
-
-
-def _improve(bins: _Bins, b: int, tries: int) -> bool:
-    """One step that takes length out of bin ``b`` and puts it into a fuller bin; False if none is found.
-
-    Each raises the sum of squared fills: the bin that gains is at least as full as the one that loses.
-    """
-    for item in reversed(bins.items[b]):  # move one piece
-        to = bins.best_fit(item, b)
-        if to is not None and bins.fill[to] >= bins.fill[b]:
-            bins.change(b, out=(item,))
-            bins.change(to, into=(item,))
-            return True
-    others = [x for x in bins.open if x[1] != b and bins.fill[x[1]] >= bins.fill[b]]
-    for room, to in others[-tries:][::-1]:
-        theirs = bins.items[to]
-        best: tuple[int, tuple, tuple] | None = None
-        for item in bins.items[b]:  # one of ours for one smaller of theirs
-            k = bisect_left(theirs, (item[0] - room, -1))
-            if k < len(theirs) and theirs[k][0] < item[0] and (best is None or item[0] - theirs[k][0] > best[0]):
-                best = (item[0] - theirs[k][0], (item,), (theirs[k],))
-        if best is None or best[0] < room:
-            ours = bins.items[b]
-            for i in range(min(len(ours), 24)):  # two of ours for one of theirs
-                for j in range(i + 1, min(len(ours), 24)):
-                    pair = ours[i][0] + ours[j][0]
-                    k = bisect_left(theirs, (pair - room, -1))
-                    if k < len(theirs) and theirs[k][0] < pair and (best is None or pair - theirs[k][0] > best[0]):
-                        best = (pair - theirs[k][0], (ours[i], ours[j]), (theirs[k],))
-            for item in ours[-24:]:  # one of ours for two of theirs
-                for i in range(min(len(theirs), 24)):
-                    want = item[0] - room - theirs[i][0]
-                    k = max(i + 1, bisect_left(theirs, (want, -1)))
-                    if k < len(theirs) and theirs[i][0] + theirs[k][0] < item[0] and (best is None or item[0] - theirs[i][0] - theirs[k][0] > best[0]):
-                        best = (item[0] - theirs[i][0] - theirs[k][0], (item,), (theirs[i], theirs[k]))
-        if best:
-            bins.change(b, out=best[1], into=best[2])
-            bins.change(to, out=best[2], into=best[1])
-            return True
-    return False
-
-
-def pack_lengths(lengths: list[int], size: int = BIN, tries: int = 64, steps: int = 400) -> list[int]:
-    """The bin of each piece. ``steps`` bounds the search in one bin, ``tries`` the bins it is held against."""
-    bins = _Bins(size)
-    for length, i in sorted(((n, i) for i, n in enumerate(lengths)), reverse=True):
-        to = bins.best_fit((length, i))
-        bins.change(bins.new() if to is None else to, into=((length, i),))
-    stuck = 0
-    while len(bins.open) > 1 and stuck < 3:
-        total = sum(bins.fill[b] for _, b in bins.open)
-        if -(-total // size) >= len(bins.open):
-            break  # no bin can be saved
-        b = bins.open[-1 - stuck][1] if stuck < len(bins.open) else bins.open[0][1]
-        for _ in range(steps):
-            if not bins.fill[b] or not _improve(bins, b, tries):
-                break
-        stuck = 0 if not bins.fill[b] else stuck + 1
-    out = [0] * len(lengths)
-    for b, items in enumerate(bins.items):
-        for _, i in items:
-            out[i] = b
-    return out
+            self.items[s].remove(x)
+            del self.loose[bisect_left(self.loose, x)]
+            self.items[b].append(x)
+            self.home[x[1]] = b
+        for x in out:
+            self.items[b].remove(x)
+            self.items[s].append(x)
+            insort(self.loose, x)
+            self.home[x[1]] = s
+        gain = sum(x[0] for x in into) - sum(x[0] for x in out)
+        self.fill[b] += gain
+        self.fill[s] -= gain
+        if self.fill[s]:
+            insort(self.open, (self.fill[s], s))
+        self.steps["two for one" if len(into) == 2 else "one for one" if out else "move"] += 1
+
+    def improve(self) -> None:
+        """Each bin is at work once, the fullest first, until it is full or no step brings it more."""
+        while self.open:
+            b = self.take_fullest()
+            while self.fill[b] < self.size:
+                gain, out, into = self.best_step(b)
+                if not gain:
+                    break
+                self.exchange(b, out, into)
+
+
+def pack_lengths(lengths: list[int], size: int = BIN) -> list[int]:
+    """The bin of each piece."""
+    bins = Bins(lengths, size)
+    bins.improve()
+    return bins.home
 
 
 def pack_pieces(pieces: DataFrame, seed: int = 0, size: int = BIN, group_pieces: int = GROUP_PIECES) -> DataFrame:
@@ -228,7 +245,7 @@ def pack_pieces(pieces: DataFrame, seed: int = 0, size: int = BIN, group_pieces:
         held: list[pa.RecordBatch] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(held).combine_chunks().sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+            table = pa.Table.from_batches(held).combine_chunks().sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("length", "ascending")])
             group = table.column("__group")[0].as_py()
             lengths = table.column("length").to_pylist()
             bins = pack_lengths(lengths, size)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from test_native import DOCS, ODD, WORD, docs
 from tokenizers import Tokenizer
 
-from loomgraph.llm import chat_format, html_extract, jaccard_join, packing, quality_crf, queries, text_arrays, token_counts
+from loomgraph.llm import chat_format, common, html_extract, jaccard_join, packing, quality_crf, queries, text_arrays, token_counts
 from loomgraph.llm.components import components
 
 BYTE_BPE, WORD_BPE, PIECES = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
@@ -292,7 +292,7 @@ def test_group_unions_hold_all_bits(spark):
     sets = [np.unique(rng.integers(0, 1 << 62, k, dtype=np.uint64)) for k in (30, 40, 100, 500, 20)]
     light = spark.createDataFrame([(k, len(x), jaccard_join.token_bits(x).tolist()) for k, x in enumerate(sets)], "row long, n int, bits array<long>")
     members = spark.createDataFrame([(0, 0), (0, 1), (0, 2), (3, 3), (3, 4)], "grp long, row long")
-    out = {r.grp: r for r in jaccard_join.group_unions(members, light).collect()}
+    out = {r.grp: r for r in jaccard_join.group_unions(members, light, common.Scratch(spark)).collect()}
     assert [(out[g].members, out[g].n_min, out[g].n_max) for g in (0, 3)] == [(3, 30, 100), (2, 20, 500)]
     for g, rows in ((0, (0, 1, 2)), (3, (3, 4))):
         held = np.array(out[g].bits, np.int64).view(np.uint64)
@@ -373,35 +373,59 @@ def test_packing_edges(spark):
     assert packing.pack_documents(docs(spark, []), WORD_BPE).count() == 0
 
 
+def test_other_tokenizers_encode_whole_texts():
+    assert packing.word_by_word(WORD_BPE) and not packing.word_by_word(BYTE_BPE)
+    tokenizer = Tokenizer.from_file(BYTE_BPE)
+    texts = fuzz(100, seed=6)
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert packing.WordEncoder(BYTE_BPE).encode(texts) == want
+
+
+def fills(packed, lengths):
+    fill = Counter()
+    for b, n in zip(packed, lengths, strict=True):
+        fill[b] += n
+    return fill
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_local_search_saves_bins(seed):
     rnd = random.Random(seed)
     lengths = [rnd.choice((700, 690, 650, 660, 680, 340, 1000, 1040)) + rnd.randrange(20) for _ in range(600)]
-    packed = packing.pack_lengths(lengths, 2048)
-    fill = Counter()
-    for b, n in zip(packed, lengths, strict=True):
-        fill[b] += n
-    assert max(fill.values()) <= 2048
-    plain = packing.pack_lengths(lengths, 2048, steps=0)
-    assert len(fill) <= len(set(plain))
+    plain = fills(packing.Bins(lengths, 2048).home, lengths)
+    fill = fills(packing.pack_lengths(lengths, 2048), lengths)
+    assert max(fill.values()) <= 2048 and len(fill) < 0.95 * len(plain)
     assert packing.pack_lengths([], 2048) == []
 
 
+def test_search_earns_the_bins_of_the_test_table(spark, sf):
+    rows = queries.op8_packing(spark, sf.replace("0.001", "0.01")).collect()
+    lengths = [r.length for r in rows if r.length < 2048]
+    bins = packing.Bins(lengths, 2048)
+    plain = len(bins.items)
+    bins.improve()
+    least = -(-sum(lengths) // 2048)
+    assert len(set(bins.home)) <= least + 1 < plain and bins.steps["move"] > 0 and bins.steps["one for one"] > 0
+    assert check_packed(rows) <= -(-sum(r.length for r in rows) // 2048) + 1
+
+
 def test_each_step_raises_the_sum_of_squares():
-    rnd = random.Random(9)
-    bins = packing._Bins(100)
-    for k in range(60):
-        item = (rnd.randrange(15, 70), k)
-        to = bins.best_fit(item)
-        bins.change(bins.new() if to is None or rnd.random() < 0.3 else to, into=(item,))
-    kinds = 0
-    for _ in range(200):
-        before = sum(f * f for f in bins.fill)
-        if not bins.open or not packing._improve(bins, bins.open[-1][1], 64):
-            break
-        kinds += 1
-        assert sum(f * f for f in bins.fill) > before and max(bins.fill) <= 100
-    assert kinds
+    rnd, kinds = random.Random(9), Counter()
+    for _ in range(30):
+        bins = packing.Bins([rnd.choice((31, 33, 47, 52, 66)) for _ in range(60)], 100)
+        while bins.open:
+            b = bins.take_fullest()
+            while bins.fill[b] < 100:
+                before = sum(f * f for f in bins.fill)
+                gain, out, into = bins.best_step(b)
+                if not gain:
+                    break
+                kinds[len(out), len(into)] += 1
+                bins.exchange(b, out, into)
+                assert sum(f * f for f in bins.fill) > before and max(bins.fill) <= 100
+        for b, items in enumerate(bins.items):
+            assert sum(x[0] for x in items) == bins.fill[b] and all(bins.home[i] == b for _, i in items)
+    assert set(kinds) == {(0, 1), (1, 1), (1, 2)}
 
 
 # ---- token counts
@@ -409,20 +433,39 @@ def test_each_step_raises_the_sum_of_squares():
 
 @pytest.mark.parametrize("path", [BYTE_BPE, PIECES])
 def test_resynchronised_counts(path):
-    encode, count_many = token_counts.load_tokenizer(path)
-    texts = [x for x in fuzz(60, 900, seed=2) if path == BYTE_BPE or "<|" not in x] + ["word " * 700, "x" * 3000, "日本語" * 900, "the end. " * 300]
-    for t, want in zip(texts, count_many(texts), strict=True):
-        assert token_counts.count_resynchronised(t, encode, 200, 16) == want
-        assert token_counts.count_resynchronised(t, encode, 500, 64) == want
+    encode, count, proven = token_counts.load_tokenizer(path)
+    assert proven
+    texts = [x for x in fuzz(60, 900, seed=2) if path == BYTE_BPE or "<|" not in x] + ["word " * 700, "x" * 3000, "日本語" * 900, "the end. " * 300, "a b" * 500 + "1" * 900 + " c d" * 400]
+    for t, want in zip(texts, count(texts), strict=True):
+        for chunk, overlap in ((200, 16), (500, 64), (64, 8)):
+            assert token_counts.count_resynchronised(t, encode, chunk, overlap) == want
+        places = token_counts.chunk_places(len(t), 100, 16)
+        assert not t or token_counts.count_huge(t, places, encode, 16, run=3) == want
+
+
+def test_tokenizers_that_cross_spaces_are_told():
+    assert token_counts.spaced(BYTE_BPE) and token_counts.spaced(PIECES) and not token_counts.spaced(WORD_BPE)
+
+
+def test_token_counts_of_another_tokenizer_are_whole(spark):
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    for r in token_counts.token_counts(docs(spark, ODD), WORD_BPE, chunk=100, overlap=10).collect():
+        assert r.n_chunks <= 1
+    texts = fuzz(30, 400, seed=8)
+    out = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs(spark, list(zip(range(30), texts, "s" * 30, strict=True))), WORD_BPE).collect()}
+    assert out == {k: len(tokenizer.encode(t, add_special_tokens=False).ids) for k, t in enumerate(texts)}
 
 
 def test_token_count_query_and_edges(spark, sf):
     tokenizer = Tokenizer.from_file(BYTE_BPE)
     text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    for r in queries.op9_token_counts(spark, sf).collect():
+    rows = queries.op9_token_counts(spark, sf).collect()
+    for r in rows:
         n = len(tokenizer.encode(text[r.doc_id], add_special_tokens=False).ids)
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text[r.doc_id].encode()), n, n > 512)
-    out = token_counts.token_counts(docs(spark, ODD), BYTE_BPE, chunk=1000, overlap=50).collect()
+    assert sum(r.n_chunks > 1 for r in rows) > len(rows) // 4  # ordinary documents are spliced
+    clash = docs(spark, ODD).withColumn("n_tokens", F.lit("clash")).withColumn("n_bytes", F.lit(None))
+    out = token_counts.token_counts(clash, BYTE_BPE, chunk=1000, overlap=50).collect()
     assert len(out) == len(ODD) and {r.n_tokens for r in out if r.doc_id in (1, 2)} == {0}
     assert next(r.n_tokens for r in out if r.doc_id == 5) == len(tokenizer.encode("x " * 30000).ids)
     assert token_counts.token_counts(docs(spark, []), BYTE_BPE).count() == 0
