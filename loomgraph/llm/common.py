@@ -18,21 +18,32 @@ BATCH_ROWS = 1000
 WHITE = " \t\n\x0b\x0c\r"
 
 
+#: Folders that were named in this process, the last one last.
+_NAMED: list[str] = []
+
+
+def on_one_machine(spark: SparkSession) -> bool:
+    """Whether driver and executors share their local folders: local mode, not local-cluster."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new path under the folder that ``spark.checkpoint.dir`` names.
+    """A new path under the folder that ``spark.checkpoint.dir`` names, deleted when the session ends.
 
-    Where the setting is absent (local tests) a temporary folder takes its place, once a session.
+    Where the setting is absent a temporary folder takes its place, once a session; that is refused on
+    a cluster, whose machines don't share it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.loomgraph.local.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.loomgraph.local.dir", None)
     if not base:
+        if not on_one_machine(spark):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("spark.loomgraph.local.dir", base)
     path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    _NAMED.append(path)
     return path
 
 
@@ -50,6 +61,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make, label: str) -> DataFrame:
+    """``make()`` as a written table; all tables that were written on the way are deleted."""
+    before = len(_NAMED)
+    out = written(make(), label)
+    for path in _NAMED[before:-1]:
+        remove(spark, path)
+    del _NAMED[before:]
+    return out
+
+
 class Scratch:
     """Tables that are needed until a result is written; ``drop`` deletes them."""
 
@@ -72,12 +93,13 @@ class Scratch:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once a context, unless they find it by themselves: in
-    the folder they run in or by PYTHONPATH."""
+    """Sends this package to the Python workers, once a context, unless they run on the driver's machine
+    and find it by themselves: in the folder they run in or by PYTHONPATH."""
     package = Path(__file__).resolve().parent.parent
     known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
     context = spark.sparkContext
-    if str(package.parent) in (os.path.realpath(x) for x in known if x) or getattr(context, "_loomgraph_sent", False):
+    found = on_one_machine(spark) and str(package.parent) in (os.path.realpath(x) for x in known if x)
+    if found or getattr(context, "_loomgraph_sent", False):
         return
     archive = Path(tempfile.mkdtemp(prefix="loomgraph-")) / f"{package.name}.zip"
     with zipfile.ZipFile(archive, "w") as z:
@@ -89,10 +111,11 @@ def ship_package(spark: SparkSession) -> None:
 
 def in_arrow(df: DataFrame, function, schema) -> DataFrame:
     """``df.mapInArrow`` with small batches; a task gives the memory it has freed back at its end, as
-    Python workers outlive tasks and stages."""
+    Python workers outlive tasks and stages. The batches' size is a setting of the session, which is
+    made (and stays, as the DataFrame is lazy) only where the session has none of its own."""
     ship_package(df.sparkSession)
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) == 10_000:
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "-9") == "-9":  # what is asked for comes back if it is unset
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches):

@@ -90,10 +90,12 @@ def stream_state(spark: SparkSession, path: str, folder: str, digest=sha, batch_
 
 
 def as_pattern(path: str) -> str:
-    """A pattern that matches the path alone: as a pattern, it may name one file as well as a folder."""
+    """A pattern that matches the path alone: as a pattern, it may name one file as well as a folder. One
+    that is a pattern already, as any reader would take it, stays as it is."""
     path = path.rstrip("/") or path
-    plain = "".join(f"\\{c}" if c in "{}[]*?\\" else c for c in path)
-    return plain if plain != path else f"{path[:-1]}[{path[-1]}]" if path[-1].isalnum() else f"{path[:-1]}{{{path[-1]}}}"
+    if any(c in "{}[]*?\\" for c in path):
+        return path
+    return f"{path[:-1]}[{path[-1]}]" if path[-1].isalnum() else f"{path[:-1]}{{{path[-1]}}}"
 
 
 def input_bytes(spark: SparkSession, path: str) -> int:

@@ -1,25 +1,31 @@
 """Quality of documents by a linear-chain conditional random field over their lines.
 
 Every line gets features of its own and of its neighbours. The field labels each line good or bad;
-forward-backward gives each line's marginal probability, and a document's score is the mean of its
-lines' marginals, weighted by length.
+forward-backward gives each line's marginal probability, and a document's quality is the mean of its
+lines' marginals, weighted by length, brought to the scale of the documents' labels.
+
+Only documents are labelled, so lines are latent: those of good documents are good, and a classifier
+of single lines, trained on their documents' labels and then on its own findings, says which lines of
+bad documents are. Bad documents thus teach the field how good and bad lines follow one another.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import in_arrow
 from .text_arrays import span_hashes, text_slices, words_of
 
-#: Documents that the field is trained on at most, and lines of each.
+#: Documents that the field is trained on at most, and lines of them all together: documents are taken
+#: whole, with all their lines, as long as these suffice (31 numbers of 4 bytes each a line).
 TRAINING_DOCUMENTS = 4000
-TRAINING_LINES = 128
+TRAINING_LINES = 500_000
 THRESHOLD = 0.7
 
 _UPPER = np.zeros(256, bool)
@@ -160,41 +166,108 @@ def train(x: np.ndarray, row: np.ndarray, good: np.ndarray, steps: int = 400, ra
     return params[:-4], params[-4:].reshape(2, 2)
 
 
-def document_scores(data: np.ndarray, bounds: np.ndarray, weights: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-    """A score for each text: its lines' marginals of good, weighted by length; 0 without a word."""
+def logistic(x: np.ndarray, y: np.ndarray, steps: int = 200, rate: float = 0.1, penalty: float = 1e-4) -> np.ndarray:
+    w, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    for step in range(1, steps + 1):
+        grad = x.T @ (y - _probability(x @ w)) / max(1, len(x)) - penalty * w
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        w = w + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return w
+
+
+def _probability(log_odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(log_odds, -500, 500)))
+
+
+def line_labels(x: np.ndarray, row: np.ndarray, good: np.ndarray, rounds: int = 2) -> np.ndarray:
+    """A label for each line from its document's (``good``, by row): lines of good documents are good;
+    of a bad one those are bad that look so by their own features, all of them if none does."""
+    own = x[:, : len(OWN)]
+    labels = good[row]
+    for _ in range(rounds):
+        likely = _probability(own @ logistic(own, labels)) >= 0.5
+        labels = np.where((good[row] == 0) & ~likely, 0, 1)
+        without = (np.bincount(row, labels == 0, len(good)) == 0) & (good == 0)
+        labels[without[row]] = 0
+    return labels
+
+
+@dataclass
+class Field:
+    """Weights of features and transitions (bad or good, then bad or good); scale and shift take the
+    log odds of a document's mean marginal to those of its label."""
+
+    weights: np.ndarray
+    transitions: np.ndarray
+    scale: float = 1.0
+    shift: float = 0.0
+
+    def marginals(self, x: np.ndarray, row: np.ndarray) -> np.ndarray:
+        ahead, behind = forward_backward(x @ self.weights, Chains(row), self.transitions)
+        return _probability(ahead + behind)
+
+
+NEUTRAL = Field(np.zeros(len(FEATURES)), np.zeros((2, 2)))
+
+
+def _log_odds(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return np.log(p / (1 - p))
+
+
+def mean_marginals(field: Field, x: np.ndarray, row: np.ndarray, n: np.ndarray, rows: int) -> np.ndarray:
+    """Of each document: its lines' marginals of good, weighted by their lengths ``n``; 0 without lines."""
+    return np.bincount(row, field.marginals(x, row) * n, rows) / np.maximum(np.bincount(row, n, rows), 1) if len(row) else np.zeros(rows)
+
+
+def calibrated(field: Field, means: np.ndarray, good: np.ndarray, steps: int = 50) -> Field:
+    """The field with the scale and shift that explain the labels best, held near 1 and 0 by a prior."""
+    at = np.stack([_log_odds(means), np.ones(len(means))], 1)
+    w, prior = np.array([1.0, 0.0]), np.array([1.0, 0.0])
+    for _ in range(steps):  # Newton's method, damped
+        p = _probability(at @ w)
+        grad = at.T @ (good - p) - (w - prior)
+        hessian = (at * (p * (1 - p))[:, None]).T @ at + np.eye(2)
+        w = w + np.clip(np.linalg.solve(hessian, grad), -0.5, 0.5)
+    return replace(field, scale=max(float(w[0]), 1e-3), shift=float(w[1]))
+
+
+def document_scores(data: np.ndarray, bounds: np.ndarray, field: Field) -> np.ndarray:
+    """A score for each text; 0 without a word."""
     x, row, n = line_features(data, bounds)
-    out = np.zeros(len(bounds) - 1)
-    if len(row):
-        ahead, behind = forward_backward(x @ weights, Chains(row), transitions)
-        p = 1 / (1 + np.exp(-np.clip(ahead + behind, -500, 500)))
-        out = np.bincount(row, p * n, len(out)) / np.maximum(np.bincount(row, n, len(out)), 1)
-    return np.clip(out, 0.0, 1.0)
+    rows = len(bounds) - 1
+    means = mean_marginals(field, x, row, n, rows)
+    scores = _probability(field.scale * _log_odds(means) + field.shift)
+    return np.where(np.bincount(row, minlength=rows) > 0, scores, 0.0)
 
 
-def fit(labelled: DataFrame, documents: int = TRAINING_DOCUMENTS, lines: int = TRAINING_LINES) -> tuple[np.ndarray, np.ndarray]:
-    """Trains on (doc_id, text, label 0 or 1): the ``documents`` rows of the smallest hashes, and the
-    first ``lines`` lines of each. Their features come to the driver, not their texts. Without rows
-    the field is neutral (every line 0.5)."""
+def fit(labelled: DataFrame, lines: int = TRAINING_LINES) -> Field:
+    """Trains on (text, label 0 or 1), as training_rows gives them: whole texts, in the order of their
+    lines' hash, as long as ``lines`` suffice. The lines' features come to the driver (62 MB at most),
+    not the texts. Without rows the field is neutral (every line 0.5)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels = batch.column("label").to_numpy(zero_copy_only=False)
             for lo, _, data, bounds in text_slices(batch.column("text")):
-                x, row, _ = line_features(data, bounds)
-                first = np.searchsorted(row, row)
-                keep = np.arange(len(row)) - first < lines
-                x, row = x[keep], row[keep]
+                x, row, n = line_features(data, bounds)
                 found, start = np.unique(row, return_index=True)
-                parts = [part.astype("<f4").tobytes() for part in np.split(x, start[1:])] if len(found) else []
-                yield pa.RecordBatch.from_arrays([pa.array([int(labels[lo + r]) for r in found], pa.int32()), pa.array(parts, pa.binary())], names=["label", "features"])
+                cut = lambda a: [p.tobytes() for p in np.split(a, start[1:])] if len(found) else []
+                columns = [pa.array([int(labels[lo + r]) for r in found], pa.int32()), pa.array(np.diff([*start, len(row)]), pa.int64()), pa.array(cut(x.astype("<f4")), pa.binary()), pa.array(cut(n.astype("<i8")), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["label", "lines", "features", "lengths"])
 
-    rows = in_arrow(labelled, run, "label int, features binary").collect()
+    found = in_arrow(labelled, run, "label int, lines long, features binary, lengths binary")
+    so_far = Window.orderBy(F.xxhash64("features", "lengths"), "label").rowsBetween(Window.unboundedPreceding, 0)
+    rows = found.withColumn("so_far", F.sum("lines").over(so_far)).filter(F.col("so_far") <= lines).drop("so_far").collect()
     if not rows:
-        return np.zeros(len(FEATURES)), np.zeros((2, 2))
-    rows.sort(key=lambda r: bytes(r["features"]))
+        return NEUTRAL
+    rows.sort(key=lambda r: (bytes(r["features"]), r["label"]))
     parts = [np.frombuffer(r["features"], "<f4").reshape(-1, len(FEATURES)) for r in rows]
     row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    return train(np.concatenate(parts).astype(np.float64), row, np.repeat([r["label"] for r in rows], [len(p) for p in parts]))
+    x, n = np.concatenate(parts).astype(np.float64), np.concatenate([np.frombuffer(r["lengths"], "<i8") for r in rows])
+    good = np.array([r["label"] for r in rows])
+    field = Field(*train(x, row, line_labels(x, row, good)))
+    return calibrated(field, mean_marginals(field, x, row, n, len(good)), good)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, documents: int = TRAINING_DOCUMENTS) -> DataFrame:
@@ -209,15 +282,14 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string")) % 4 == 2
 
 
-def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def score_documents(docs: DataFrame, field: Field) -> DataFrame:
     """(doc_id, score) of documents(doc_id, text): a number from 0 to 1 for every row, the likelihood
     of quality label 1. Null texts and texts without a word score 0; repeated rows score alike; an
     empty table gives an empty result; other columns are ignored."""
-    weights, transitions = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [document_scores(data, bounds, weights, transitions) for _, _, data, bounds in text_slices(batch.column("text"))]
+            scores = [document_scores(data, bounds, field) for _, _, data, bounds in text_slices(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64())], names=["doc_id", "score"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -225,16 +297,21 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> Da
 
 
 def rows_of_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of documents(doc_id, text, ...) that score ``threshold`` or more, with all their columns."""
-    weights, transitions = fit(training_rows(docs, labels))
+    """The rows of documents(doc_id, text, ...) that score ``threshold`` or more, with all their columns,
+    whatever their names. Nulls, empty texts, repeated rows and empty tables go as in score_documents."""
+    field = fit(training_rows(docs, labels))
+
+    # by their places, as some names can't be asked for
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [document_scores(data, bounds, weights, transitions) for _, _, data, bounds in text_slices(batch.column("text"))]
+            scores = [document_scores(data, bounds, field) for _, _, data, bounds in text_slices(batch.column(text))]
             good = np.concatenate([np.zeros(0), *scores]) >= threshold
             yield batch.filter(pa.array(good))
 
-    return in_arrow(docs, run, docs.schema)
+    return in_arrow(plain, run, plain.schema).toDF(*docs.columns)
 
 
 def classify_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

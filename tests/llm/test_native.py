@@ -103,6 +103,27 @@ def test_mixed_rows_keep_columns_and_repeat(spark):
 # ---- exact dedup
 
 
+def test_paths_as_patterns():
+    assert exact_dedup.as_pattern("/a/docs.parquet") == "/a/docs.parque[t]" == exact_dedup.as_pattern("/a/docs.parquet/")
+    assert exact_dedup.as_pattern("/a/x-") == "/a/x{-}" and exact_dedup.as_pattern("/a/*") == "/a/*"
+
+
+@pytest.mark.parametrize("name", ["plain", "with space", "end-"])
+def test_dedup_of_odd_paths(spark, tmp_path, name):
+    path = str(tmp_path / name)
+    docs(spark, [(1, "a", "s"), (2, "a", "s")]).write.parquet(path)
+    assert sorted((r.doc_id, r.keep_id) for r in exact_dedup.dedup_files(spark, path).collect()) == [(1, 2), (2, 2)]
+
+
+def test_a_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    path, folder = str(tmp_path / "in"), common.shared_folder(spark, "stream")
+    docs(spark, [(1, "a", "s"), (2, "b", "s")]).write.parquet(path)
+    exact_dedup.stream_state(spark, path, folder)
+    docs(spark, [(3, "a", "s"), (4, "c", "s")]).write.mode("append").parquet(path)
+    state = exact_dedup.stream_state(spark, path, folder).collect()
+    assert sorted((r.keeper.doc_id, r.n) for r in state) == [(2, 1), (3, 2), (4, 1)]
+
+
 def brute_dedup(rows):
     groups = defaultdict(list)
     for i, t in rows:
@@ -229,3 +250,62 @@ def test_common_lines_deplete_documents(spark):
     assert all(out[300 + i].kept for i in range(40))  # copies of one text are one document
     assert quality_rules.quality_rules(docs(spark, [])).collect() == []
     assert len(quality_rules.quality_rules(docs(spark, ODD)).collect()) == len(ODD)
+
+
+# ---- shared
+
+
+def test_bucket_starts_by_blocks(spark):
+    counts = [(k, (k * 7) % 5 + 1) for k in range(40) if k % 6]
+    out = sharding.bucket_starts(spark.createDataFrame(counts, "__bucket long, n long"), each=4).collect()
+    assert {r["__bucket"]: r["__start"] for r in out} == {k: sum(n for j, n in counts if j < k) for k, _ in counts}
+
+
+def test_a_record_larger_than_its_bucket(spark):
+    rows = [(i, "x" * (5000 if i == 7 else 3), "s") for i in range(50)]
+    size = sharding.document_size(F.col("text"))
+    out = sharding.shard_records(docs(spark, rows), 4, 3, size, bucket_bytes=500).collect()
+    assert sorted(r.doc_id for r in out) == list(range(50))
+    assert sorted((r["__shard"], r["__slot"]) for r in out) == sorted((k % 4, k // 4) for k in range(50))
+
+
+def test_shards_in_several_files(spark, tmp_path):
+    rows = [(i, f"t{i}", "s") for i in range(300)]
+    out = common.written(sharding.shard_records(docs(spark, rows), 3, 1, sharding.document_size(F.col("text"))), "t")
+    sharding.write_shards(out, str(tmp_path / "out"), 3, files_a_shard=4)
+    for k in range(3):
+        files = sorted((tmp_path / "out" / f"__shard={k}").glob("part-*.parquet"))
+        slots = [r["__slot"] for f in files for r in spark.read.parquet(str(f)).collect()]
+        assert slots == list(range(100)) and len(files) > 1
+
+
+def test_salted_lines_are_the_same(spark):
+    rows = [(i, "common line here\n" + f"own {i} " * (i % 5), "a" if i % 3 else None) for i in range(60)]
+    counted = common.written(quality_rules.document_counts(docs(spark, rows)), "t")
+    lines = quality_rules.frequent_lines(counted, 10, 0.005)
+    assert lines.count() == 2
+    both = [sorted((r.row, r.removed) for r in quality_rules.removed_lines(counted, lines, broadcast=n, salts=3).collect()) for n in (100, 0)]
+    assert both[0] == both[1] and len(both[0]) == 60
+
+
+def test_cleaned_documents_lose_their_frequent_lines(spark):
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    rows = [(i, f"Common  LINE here\n{own(i)}\n\ncommon line here", "a") for i in range(30)] + [(90, "too short", "a"), (91, None, None)]
+    df = docs(spark, rows).withColumns({"row": F.lit("clash"), "gone": F.lit(1), "document": F.lit("x")})
+    out = quality_rules.clean_documents(df)
+    assert out.columns == df.columns
+    assert {r.doc_id: r.text for r in out.collect()} == {i: f"{own(i)}\n" for i in range(30)}
+
+
+def test_tables_on_the_way_are_deleted(spark):
+    made = []
+
+    def make():
+        made.append(common.shared_folder(spark, "t"))
+        spark.range(3).write.parquet(made[0])
+        return spark.read.parquet(made[0])
+
+    out = common.settled(spark, make, "out")
+    assert out.count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(made[0])

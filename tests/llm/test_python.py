@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -83,6 +84,80 @@ def test_tree_fits_its_table():
     assert all(html_extract.is_content(tree, r[:-1]) == bool(r[-1]) for r in html_extract.LABELLED)
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<article><h2 title="The hidden river">Kept</h2><p data-x="display: none">Too</p></article>', "Kept\n\nToo"),
+        ("<article><ul><li hidden>gone<li>stays</ul><p>after</p></article>", "stays\n\nafter"),
+        ("<article><div><button>press</div><p>after</p></article>", "after"),
+        ("<article><p hidden>gone<p>stays</article>", "stays"),
+        ("<article><p aria-hidden='true'>gone</p><p style='color: red; display : none'>gone</p><p>stays</p></article>", "stays"),
+        ("<head><title>t</title><body><article><p>text</p></article>", "text"),
+        (f"<article><div class=discussion><p>{'word ' * 40}</p></div></article>", ("word " * 40).strip()),
+        (f"<article><div id=search-results><p>{'word ' * 40}</p></div><header class=entry-header><h1>Title</h1></header></article>", ("word " * 40).strip() + "\n\nTitle"),
+        (f"<article><p>{'word ' * 40}</p><div class=tags><a>x</a></div></article>", ("word " * 40).strip()),
+    ],
+)
+def test_malformed_and_softly_marked_pages(page, want):
+    assert html_extract.main_text(page) == want
+
+
+def test_word_counts_and_densities_change_results():
+    links = "".join(f"<li><a href=x>w{k}</a></li>" for k in range(5))
+    page = f"<body><ul>{links}</ul><div>Buy now</div><h1>Title of it</h1><div>{'plain words of text ' * 12}</div><div>{'more plain words ' * 9}</div><ul>{links}</ul></body>"
+    tree, blocks = html_extract.content_tree(), html_extract.text_blocks(page)
+    rows = html_extract.features(blocks)
+    kept = [html_extract.is_content(tree, x) for x in rows]
+    assert [b.text for b, k in zip(blocks, kept, strict=True) if k] == ["Title of it", ("plain words of text " * 12).strip(), ("more plain words " * 9).strip()]
+    flat = [html_extract.is_content(tree, (0.0,) * html_extract.TEXT_FEATURES + x[html_extract.TEXT_FEATURES :]) for x in rows]
+    assert flat != kept
+    for column in (1, 3):  # of a link list; of what follows one
+        without = [html_extract.is_content(tree, (*x[:column], 0.0, *x[column + 1 :])) for x in rows]
+        assert without != kept
+
+
+class Plain(HTMLParser):
+    """Article texts by another parser: blocks of text in <article>, outside what is marked as an advert."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside = self.skip = 0
+        self.blocks, self.now = [], ""
+
+    def cut(self):
+        if self.now.split():
+            self.blocks.append(" ".join(self.now.split()))
+        self.now = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in ("a", "b", "i", "em", "span"):
+            self.cut()
+        self.inside += tag == "article"
+        self.skip += tag in ("script", "style") or tag == "div" and ("class", "ad") in attrs
+
+    def handle_endtag(self, tag):
+        if tag not in ("a", "b", "i", "em", "span"):
+            self.cut()
+        self.inside -= tag == "article"
+        self.skip -= tag in ("script", "style") or tag == "div" and self.skip > 0
+
+    def handle_data(self, data):
+        if self.inside and not self.skip:
+            self.now += data
+
+
+def test_extraction_query_against_another_parser(spark, sf):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    out = queries.op1_html_extract(spark, sf).collect()
+    assert len(out) == len(pages)
+    for r in out:
+        p = Plain()
+        p.feed(pages[r.page_id])
+        p.close()
+        p.cut()
+        assert r.text == "\n\n".join(p.blocks)
+
+
 def test_extraction_query_and_edges(spark, sf):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in queries.op1_html_extract(spark, sf).collect():
@@ -182,6 +257,66 @@ def test_classifier_on_held_out_rows(spark, sf):
     assert np.mean([g.score > b.score for g in good for b in bad]) > 0.97
 
 
+def mixed_documents(rng, n):
+    """(text, label, the lines' labels): good documents, and bad ones of which some lines are good."""
+    words = ["river", "house", "over", "small", "green", "about", "never", "walked", "under", "stone"]
+    line = lambda: " ".join(rng.choice(words, 12)) + "."
+    junk = lambda: " | ".join(rng.choice(words, 9)) + " $$$ ###"
+    out = []
+    for k in range(n):
+        if k % 2:
+            out.append(("\n".join(line() for _ in range(8)), 1, [1] * 8))
+        else:
+            at = int(rng.integers(1, 4))
+            out.append(("\n".join([line() for _ in range(at)] + [junk() for _ in range(8 - at)]), 0, [1] * at + [0] * (8 - at)))
+    return out
+
+
+def test_planted_bad_lines_are_found():
+    train, check = (mixed_documents(np.random.default_rng(s), n) for s, n in ((1, 200), (2, 40)))
+
+    def arrays(docs_):
+        parts = [quality_crf.line_features(data, bounds) for _, _, data, bounds in text_arrays.text_slices(pa.array([t for t, _, _ in docs_]))]
+        assert len(parts) == 1
+        return parts[0][0].astype(float), parts[0][1]
+
+    x, row = arrays(train)
+    good = np.array([y for _, y, _ in train])
+    labels = quality_crf.line_labels(x, row, good)
+    assert labels.tolist() == [y for _, _, lines in train for y in lines]
+    field = quality_crf.Field(*quality_crf.train(x, row, labels))
+    x, row = arrays(check)
+    p = field.marginals(x, row)
+    assert ((p >= 0.5).astype(int) == [y for _, _, lines in check for y in lines]).all()
+    bad = [p[row == k] for k, (_, y, _) in enumerate(check) if not y]
+    assert min(v.max() - v.min() for v in bad) > 0.5  # lines of one document differ
+    assert field.transitions[0, 0] + field.transitions[1, 1] > field.transitions[0, 1] + field.transitions[1, 0]
+
+
+def brute_score(text, field):
+    """A document's score by summing over all labellings of its lines."""
+    x, _, n = quality_crf.line_features(*next((d, b) for _, _, d, b in text_arrays.text_slices(pa.array([text]))))
+    if not len(x):
+        return 0.0
+    e, good, total = x.astype(float) @ field.weights, np.zeros(len(x)), 0.0
+    for k in range(2 ** len(x)):
+        y = np.array([(k >> i) & 1 for i in range(len(x))])
+        w = np.exp(e @ y + sum(field.transitions[a, b] for a, b in zip(y, y[1:], strict=False)))
+        total, good = total + w, good + w * y
+    mean = np.clip((good / total) @ n / n.sum(), 1e-6, 1 - 1e-6)
+    return 1 / (1 + np.exp(-(field.scale * np.log(mean / (1 - mean)) + field.shift)))
+
+
+def test_scores_of_the_query_against_all_labellings(spark, sf):
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    field = quality_crf.fit(quality_crf.training_rows(d, labels))
+    out = {r.doc_id: r.score for r in queries.op4_quality_crf(spark, sf).collect()}
+    texts = [(r.doc_id, r.text) for r in d.collect()]
+    short = [(i, t) for i, t in texts if sum(bool(x.strip()) for x in (t or "").split("\n")) <= 10]
+    assert len(out) == len(texts) and len(short) > 50
+    assert np.allclose([out[i] for i, _ in short], [brute_score(t or "", field) for _, t in short], atol=1e-6)
+
+
 def test_classifier_edges(spark):
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
     rows = [(k, "A fine line of plain words.\nAnd one more line." if k % 2 else "BUY!! NOW!! $$$ ### ***\n" * 3, None) for k in range(40)]
