@@ -1,8 +1,13 @@
 """From documents to packed training sequences, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the
-last return the columns of ``documents``. ``run`` writes every stage's result to the shared folder
-and reads it again as the next one's ``docs``.
+last return the columns of ``documents``, and any others that its input has. ``run`` writes every
+stage's result to the shared folder and reads it again as the next one's ``docs``; what a stage wrote
+on its way is deleted then.
+
+All stages take null and empty texts (no words, one end token), null doc_ids and sources, repeated
+rows (each a row of its own until the copies go), very long texts, ties (decided by doc_id), columns
+of any names and empty tables (an empty result).
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm.common import written
+from loomgraph.llm.common import settled
 from loomgraph.llm.exact_dedup import without_copies
 from loomgraph.llm.jaccard_join import one_of_each
 from loomgraph.llm.mixing import mixed_rows
@@ -62,5 +67,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        docs = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)
