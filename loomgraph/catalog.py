@@ -159,10 +159,16 @@ def unique_properties(g: PropertyGraph) -> list[tuple[str, str]]:
     """(label, property) pairs that every node of the label has with a value of its own."""
     out = []
     for t in g.nodes:
-        for p in t.props:
-            n, known, distinct = t.df.agg(F.count(F.lit(1)), F.count(F.col(f"`{p}`")), F.count_distinct(F.col(f"`{p}`"))).first()
-            if n and n == known == distinct:
-                out += [(label, p) for label in sorted(t.labels)]
+        names = sorted(t.props)
+        if not names:
+            continue
+        # estimates in one pass leave few candidates; only these are counted exactly, in another
+        column = lambda p: F.col(f"`{p}`")
+        sums = [x for p in names for x in (F.count(column(p)), F.approx_count_distinct(F.to_json(F.struct(column(p)))))]
+        n, *found = t.df.agg(F.count(F.lit(1)), *sums).first()
+        likely = [p for k, p in enumerate(names) if n and found[2 * k] == n and found[2 * k + 1] >= 0.8 * n]
+        exact = t.df.agg(*[F.count_distinct(column(p)) for p in likely]).first() if likely else []
+        out += [(label, p) for p, distinct in zip(likely, exact, strict=True) if distinct == n for label in sorted(t.labels)]
     return out
 
 

@@ -97,8 +97,10 @@ def _as_groups(planner, inner: Rel) -> tuple[DataFrame, dict[str, VarInfo]]:
     return inner.df.select(*cols), groups
 
 
-def repeated(planner, left: Rel, p: Repeat, prefix: Prefix) -> Rel:
-    """Rows of ``left`` that go on with ``low`` to ``high`` laps of the repeated part."""
+def repeated(planner, left: Rel, p: Repeat, prefix: Prefix, ends: DataFrame | None = None, fixed: bool = True) -> Rel:
+    """Rows of ``left`` that go on with ``low`` to ``high`` laps of the repeated part. ``ends`` has the
+    nodes (column ``__end``) at which rows that matter end, if they are known; ``fixed`` tells whether a
+    condition narrows ``left``."""
     check_repeat(p, prefix)
     inner = planner.plan(p.inner, True)
     laps, groups = _as_groups(planner, inner)
@@ -110,7 +112,7 @@ def repeated(planner, left: Rel, p: Repeat, prefix: Prefix) -> Rel:
     # with a search only the ends matter to the laps, whichever they are: search from each end once
     searching = prefix.search != "ALL" and prefix.mode == "WALK"
     if searching and (p.high is None or p.high > 1):
-        return _searched(planner, left, laps, groups, p, prefix)
+        return _searched(planner, left, laps, groups, p, prefix, ends, ends is not None and not fixed)
     if p.high is None:
         return _pruned(planner, left, laps, groups, p, prefix.mode)
     return _bounded(planner, left, laps, groups, p, prefix.mode)
@@ -122,14 +124,17 @@ def _started(left: Rel, groups: dict[str, VarInfo], inner: DataFrame) -> DataFra
     return left.df.withColumns({n: F.array().cast(types[n]) for v, x in groups.items() for n in [v, *(f"{v}${a}" for a, _ in x.attrs)]}) if groups else left.df
 
 
-def _extended(df: DataFrame, last: str, path: str, laps: DataFrame, names: list[str]) -> DataFrame:
+def _extended(df: DataFrame, last: str, path: str, laps: DataFrame, names: list[str], back: bool = False) -> DataFrame:
+    """One lap more: behind the path, or before it on the way back from its end."""
     keep = [c for c in df.columns if c not in {last, path, *names}]
     step = laps.select(*[F.col(c).alias(c) if c.startswith("__") else col(c).alias(f"__lap {c}") for c in laps.columns])
-    j = df.join(step, col(last) == F.col("__from"))
+    at, to = ("__to", "__from") if back else ("__from", "__to")
+    j = df.join(step, col(last) == F.col(at))
     cols = [col(c) for c in keep]
-    cols += [F.concat(col(n), col(f"__lap {n}")).alias(n) for n in names]
-    grown = F.concat(col(path), F.slice(F.col("__step"), 2, F.size(F.col("__step")) - 1))
-    return j.select(*cols, F.col("__to").alias(last), grown.alias(path))
+    cols += [(F.concat(col(f"__lap {n}"), col(n)) if back else F.concat(col(n), col(f"__lap {n}"))).alias(n) for n in names]
+    whole, step_ = col(path), F.col("__step")
+    grown = F.concat(F.slice(step_, 1, F.size(step_) - 1), whole) if back else F.concat(whole, F.slice(step_, 2, F.size(step_) - 1))
+    return j.select(*cols, F.col(to).alias(last), grown.alias(path))
 
 
 def _names(groups: dict[str, VarInfo]) -> list[str]:
@@ -183,18 +188,23 @@ def _pruned(planner, left: Rel, laps: DataFrame, groups: dict[str, VarInfo], p:
     return Rel(out, {**left.vars, **groups}, left.first, left.last, left.path)
 
 
-def _searched(planner, left: Rel, laps: DataFrame, groups: dict[str, VarInfo], p: Repeat, prefix: Prefix) -> Rel:
-    """Laps step by step from each distinct start; a pair of ends that has its quota is not extended.
+def _searched(planner, left: Rel, laps: DataFrame, groups: dict[str, VarInfo], p: Repeat, prefix: Prefix, ends: DataFrame | None, back: bool) -> Rel:
+    """Laps step by step from each distinct start, or ``back`` from each end where only ends are fixed.
 
-    The quota is of paths (ANY, SHORTEST) or of different lengths (GROUPS). Since a part of a shortest
-    path is one itself, what is dropped could not have led to a kept path. Steps below the lower bound
-    keep a quota of their own each.
+    A pair of start and reached node that has its quota is not extended: the quota is of paths (ANY,
+    SHORTEST) or of different lengths (GROUPS), and since a part of a shortest path is one itself, what
+    is dropped could not have led to a kept path. Steps below the lower bound keep a quota of their own
+    each. With known ends, a start whose pairs with all of them have their quota is done. Ties go by
+    the edges' ids in the path's own direction, whichever way the search goes.
     """
     names = _names(groups)
     laps = written(laps, "laps")
     left_df = written(left.df, "starts")
+    ends = None if ends is None else written(ends.filter(F.col("__end").isNotNull()).distinct(), "ends")
     kept_type = planner.path_type()
-    start = left_df.select(col(left.last).alias("__a")).distinct().filter(F.col("__a").isNotNull())
+    firsts = left_df.select(col(left.last).alias("__a")).distinct().filter(F.col("__a").isNotNull())
+    start = ends.select(F.col("__end").alias("__a")) if back else firsts
+    wanted = 0 if ends is None or back else ends.count()
     empty_path = F.array(F.struct(F.lit("n").alias("__kind"), F.col("__a").alias("__id"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in kept_type.fields[2:]]))
     now = start.withColumns({"__b": F.col("__a"), "__way": empty_path})
     types = dict((f.name, f.dataType) for f in laps.schema)
@@ -230,13 +240,21 @@ def _searched(planner, left: Rel, laps: DataFrame, groups: dict[str, VarInfo], p
         if len(seen) == SEEN_PARTS:
             seen[:] = [written(total(), "seen")]
 
+    def undone(level: DataFrame) -> DataFrame:
+        """Of the frontier the rows whose start has not reached all ends as often as asked."""
+        if not wanted or not seen:
+            return level
+        reached = total().filter(F.col("__n") >= prefix.count).join(ends, F.col("__b") == F.col("__end"), "left_semi")
+        done = reached.groupBy("__a").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") == wanted)
+        return level.join(done.select("__a"), "__a", "left_anti")
+
     k = 0
     if p.low == 0:
         levels.append(written(now, "level"))
         use(levels[-1])
     while p.high is None or k < p.high:
         k += 1
-        now = _extended(now, "__b", "__way", laps, names)
+        now = _extended(undone(now), "__b", "__way", laps, names, back)
         now = written(quota(now, k >= p.low).drop("__used"), "level")
         if now.isEmpty():
             break
@@ -245,9 +263,11 @@ def _searched(planner, left: Rel, laps: DataFrame, groups: dict[str, VarInfo], p
             use(now)
     if not levels:
         return _no_rows(planner, left, groups)
-    found = levels[0]
-    for x in levels[1:]:
-        found = found.unionByName(x)
+    found = joined(levels)
+    if back:
+        found = found.select(F.col("__b").alias("__a"), F.col("__a").alias("__b"), "__way", *[col(n) for n in names])
+    elif ends is not None:
+        found = found.join(ends, F.col("__b") == F.col("__end"), "left_semi")
     j = left_df.join(found.withColumnRenamed("__a", left.last), left.last)
     path = F.concat(col(left.path), F.slice(F.col("__way"), 2, F.greatest(F.size("__way") - 1, F.lit(0))))
     df = j.withColumn(left.path, path).drop(left.last, "__way").withColumnRenamed("__b", left.last)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from contextlib import contextmanager
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -391,14 +391,29 @@ class PatternPlanner:
             else:
                 parts.append(x)
         out: Rel | None = None
-        for x in parts:
+        fixed = False  # does a condition or an earlier clause narrow the rows so far?
+        ready: dict[int, Rel] = {}
+
+        def piece(k: int) -> Rel:
+            if k not in ready:
+                x = parts[k]
+                ready[k] = self.flat([Concat(x)], want_path=True) if isinstance(x, list) else self.plan(x, True, seeds if out is None else None)
+            return ready[k]
+
+        for k, x in enumerate(parts):
             if isinstance(x, Repeat):
                 if out is None:
                     out = self.flat([NodeP(self.fresh("n"))], want_path=True)
-                out = repeated(self, out, x, prefix)
+                ends = None
+                if k + 1 < len(parts) and isinstance(parts[k + 1], list) and narrows(parts[k + 1]):
+                    after = piece(k + 1)
+                    ends = after.df.select(col(after.first).alias("__end"))
+                out = repeated(self, out, x, prefix, ends, fixed)
                 continue
-            r = self.flat([Concat(x)], want_path=True) if isinstance(x, list) else self.plan(x, True, seeds if out is None else None)
+            r = piece(k)
+            fixed |= narrows(x) if isinstance(x, list) else True
             if out is None:
+                fixed |= seeds is not None and bool(set(r.vars) & set(seeds.vars))
                 out = seeded(r, seeds)
             else:
                 out = joined_paths(out, r, self)
@@ -418,6 +433,32 @@ class PatternPlanner:
         return keep_search(keep_mode(r, p.prefix.mode), p.prefix)
 
 
+def narrows(items: list[Pattern]) -> bool:
+    """Whether nodes or edges have conditions on values."""
+    return any(isinstance(x, (NodeP, EdgeP)) and (x.values or x.where is not None) for x in items)
+
+
+def with_end_conditions(p: Pattern, tests: list[Expr]) -> Pattern:
+    """The pattern with conditions on one end of a searched or repeated path put at that node. They only
+    tell pairs of ends apart, for which paths are selected each by itself; conditions on what lies
+    between stay outside."""
+    if isinstance(p, Join):
+        return replace(p, operands=[with_end_conditions(x, tests) for x in p.operands])
+    if isinstance(p, (Named, Selected, FilterP)):
+        return replace(p, inner=with_end_conditions(p.inner, tests))
+    if not isinstance(p, Concat) or is_flat(p):
+        return p
+    items = list(p.items)
+    for at in {0, len(items) - 1}:
+        node = items[at]
+        if isinstance(node, NodeP) and node.var:
+            for e in tests:
+                if free_vars(e) == {node.var} and not has_subquery(e):
+                    node = replace(node, where=e if node.where is None else Bin("AND", node.where, e))
+            items[at] = node
+    return replace(p, items=items)
+
+
 def is_flat(p: Pattern) -> bool:
     if isinstance(p, (NodeP, EdgeP)):
         return True
@@ -521,4 +562,4 @@ def union(rels: list[Rel], planner: PatternPlanner) -> Rel:
     return Rel(reduce(DataFrame.unionByName, parts), variables, first, last, path)
 
 
-__all__ = ["PatternPlanner", "free_vars", "has_subquery", "is_flat", "joined_paths", "natural_join", "plain", "seeded", "union"]
+__all__ = ["PatternPlanner", "free_vars", "has_subquery", "is_flat", "joined_paths", "natural_join", "plain", "seeded", "union", "with_end_conditions"]

@@ -15,7 +15,8 @@ from ..graph import ID, PropertyGraph
 from ..lang.lexer import GqlError
 from ..lang.tree import Agg, Attr, Bin, Call, Cast, EdgeP, Exists, Expr, Item, Lit, Match, Named, NodeP, Query, Repeat, SortKey, Value, Var, walk
 from ..operators.nearest import nearest
-from .pattern import SELF, PatternPlanner, free_vars, has_subquery, natural_join, plain
+from ..storage import written
+from .pattern import SELF, PatternPlanner, free_vars, has_subquery, natural_join, plain, with_end_conditions
 from .scope import Compiler, Rel, VarInfo, col, is_elementwise, spark_type
 
 
@@ -53,11 +54,12 @@ def run_matches(planner: PatternPlanner, matches: list[Match]) -> Rel:
 
 
 def matched(planner: PatternPlanner, left: Rel | None, m: Match) -> Rel:
+    tests = conjuncts(m.where)
     with planner.knowing(_complete(planner, left)):
-        r = plain(planner.plan(m.pattern, seeds=left))
+        r = plain(planner.plan(with_end_conditions(m.pattern, tests), seeds=left))
     if left is not None:
         r = natural_join(left, r)
-    for e in conjuncts(m.where):
+    for e in tests:
         r = plain(filtered(planner, r, e))
     return r
 
@@ -84,12 +86,12 @@ def optional(planner: PatternPlanner, left: Rel, m: Match) -> Rel:
         (inner if free_vars(e) <= own else outer).append(e)
     read = {x.base.name for x in walk(inner) if isinstance(x, Attr) and isinstance(x.base, Var)}
     with planner.knowing(_complete(planner, left) - read):
-        r = plain(planner.plan(m.pattern, seeds=left))
+        r = plain(planner.plan(with_end_conditions(m.pattern, inner), seeds=left))
     for e in inner:
         r = plain(filtered(planner, r, e))
     shared = sorted(set(left.vars) & set(r.vars))
     if any(has_subquery(e) for e in outer):
-        raise GqlError("a subquery in OPTIONAL MATCH ... WHERE can only read the clause's own variables")
+        return _optional_by_rows(planner, left, r, outer)
     drop = [c for v in shared for c in r.columns_of(v)[1:] if c in left.df.columns]
     right = r.df.drop(*drop)
     keys = {v: planner.fresh("k") for v in shared}
@@ -106,6 +108,19 @@ def optional(planner: PatternPlanner, left: Rel, m: Match) -> Rel:
     return Rel(df, {**r.vars, **left.vars, **more})
 
 
+def _optional_by_rows(planner: PatternPlanner, left: Rel, r: Rel, outer: list[Expr]) -> Rel:
+    """The left join where a condition's subquery reads what is bound before: the rows that match are
+    found by an inner join, with a number for each row on the left, and joined back by it."""
+    row = planner.fresh("row")
+    numbered = replace(left, df=written(left.df.withColumn(row, F.monotonically_increasing_id()), "optional"))
+    found = natural_join(numbered, r)
+    for e in outer:
+        found = plain(filtered(planner, found, e))
+    gained = [c for c in found.df.columns if c not in left.df.columns and c != row]
+    df = numbered.df.join(found.df.select(row, *[col(c) for c in gained]), row, "left").drop(row)
+    return Rel(df, found.vars)
+
+
 # ---- subqueries
 
 

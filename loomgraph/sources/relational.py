@@ -100,5 +100,6 @@ def commerce_graph(spark: SparkSession, folder: str) -> PropertyGraph:
     steps = steps.select("a", ((c("a") + c("k")) % 25).alias("b"), "k")
     b.edges("ROUTE", steps, ("Nation", c("a")), ("Nation", c("b")), {"km": (c("k") * 100).cast("long")}, key=c("a") * 10 + c("k"))
     vectors = read("embeddings").select(b.id_of("Vec", c("vec_id")).alias(ID), c("embedding").cast("array<float>").alias("vector"))
-    b.graph.vectors["emb"] = (vectors, 64, "L2Sq")
+    for attr, metric in (("emb", "L2Sq"), ("emb_cos", "Cosine"), ("emb_ip", "Ip")):
+        b.graph.vectors[attr] = (vectors, 64, metric)
     return b.graph

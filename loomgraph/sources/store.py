@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..graph import DST, EID, ID, SRC, EdgeTable, NodeTable, PropertyGraph, is_mixed
 from ..lang.lexer import GqlError
 
-FORMAT = 1
+FORMAT = 2
 
 
 def _fs(spark: SparkSession, path: str):
@@ -20,12 +20,24 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions in a graph's folder that were written whole, oldest first."""
+    fs, target = _fs(spark, path)
+    if not fs.exists(target):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(target)]
+    return sorted(int(n.removeprefix("whole-")) for n in names if n.startswith("whole-"))
+
+
 def save_graph(g: PropertyGraph, path: str, catalog: dict | None = None) -> None:
-    """Writes every table beside the target and then renames, so that a graph is there whole or not."""
+    """Writes every table to a new version's folder and at last a file that says the version is whole, so
+    that a graph is there whole at any time: a save that breaks off leaves the version before it."""
     spark, path = g.spark, path.rstrip("/")
-    fs, target = _fs(spark, path)
-    fresh = f"{path}.tmp"
-    fs.delete(_fs(spark, fresh)[1], True)
+    before = _versions(spark, path)
+    version = max(before, default=0) + 1
+    fresh = f"{path}/version-{version}"
+    fs, folder = _fs(spark, fresh)
+    fs.delete(folder, True)  # of a save that broke off
     meta: dict = {"format": FORMAT, "codes": g.codes, "nodes": [], "edges": [], "vectors": [], "catalog": catalog or {}}
     for k, t in enumerate(g.nodes):
         t.df.write.parquet(f"{fresh}/nodes/{k}")
@@ -37,16 +49,18 @@ def save_graph(g: PropertyGraph, path: str, catalog: dict | None = None) -> None
         df.write.parquet(f"{fresh}/vectors/{k}")
         meta["vectors"].append({"attr": attr, "dim": dim, "metric": metric})
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{fresh}/meta")
-    old = f"{path}.old"
-    if fs.exists(target):
-        fs.delete(_fs(spark, old)[1], True)
-        fs.rename(target, _fs(spark, old)[1])
-    fs.rename(_fs(spark, fresh)[1], target)
-    fs.delete(_fs(spark, old)[1], True)
+    fs.create(_fs(spark, f"{path}/whole-{version}")[1]).close()
+    for old in before:
+        fs.delete(_fs(spark, f"{path}/whole-{old}")[1], False)
+        fs.delete(_fs(spark, f"{path}/version-{old}")[1], True)
 
 
 def open_graph(spark: SparkSession, path: str) -> tuple[PropertyGraph, dict]:
     path = path.rstrip("/")
+    versions = _versions(spark, path)
+    if not versions:
+        raise GqlError(f"there is no whole graph at {path}")
+    path = f"{path}/version-{versions[-1]}"
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
     if meta["format"] != FORMAT:
         raise GqlError(f"unknown graph format {meta['format']}")

@@ -27,7 +27,7 @@ def ordered(s, text):
 
 
 FRAUD = (
-    [node("a1", "Account", owner="Aretha", isBlocked=False), node("a2", "Account", owner="Scott", isBlocked=False), node("p1", "Account", owner="Jay", isBlocked=False), node("p2", "Account", owner="Mike", isBlocked=True), node("d1", "Dummy&Person", owner="Fred", isBlocked=False, isDummy=True)],
+    [node("a1", "Account", owner="Anya", isBlocked=False), node("a2", "Account", owner="Sven", isBlocked=False), node("p1", "Account", owner="Jon", isBlocked=False), node("p2", "Account", owner="Max", isBlocked=True), node("d1", "Dummy&Person", owner="Finn", isBlocked=False, isDummy=True)],
     [edge("t1", "p1", "Transfer", "p2", amount=2500000), edge("t2", "p2", "Transfer", "a2", amount=3000000), edge("t3", "a2", "Transfer", "a1", amount=3500000), edge("t4", "a1", "Transfer", "p1", amount=2000000), edge("t5", "a1", "Foo", "d1", amount=2000000)],
 )
 MULTI = (
@@ -45,7 +45,7 @@ DIAMOND = (
 TRIANGLE = ([node(x, "N", name=x) for x in "XYZ"], [edge("1", "X", "R", "Y"), edge("2", "Y", "R", "Z"), edge("3", "Z", "R", "X")])
 CHAIN = ([node(x, "N", name=x) for x in "abc"], [edge("1", "a", "R", "b", p=1), edge("2", "b", "R", "c", p=2)])
 SOCIAL = (
-    [node("n1", "Person&Teacher", name="Alice", status="active"), node("n2", "Person&Student", name="Bob", status=1), node("n3", "Comment", content="hi", status=True)],
+    [node("n1", "Person&Teacher", name="Ada", status="active"), node("n2", "Person&Student", name="Ben", status=1), node("n3", "Comment", content="hi", status=True)],
     [edge("e1", "n1", "Knows", "n2", directed=False, since=2020), edge("e2", "n1", "Likes", "n3"), edge("e3", "n3", "Author", "n2")],
 )
 PEOPLE = ([node("a", "P", name="ann", age=30, score=1.5), node("b", "P", name="bob", age=25), node("c", "P", name="cat"), node("d", "P", name="dan", age=30, score=-2.5)], [])

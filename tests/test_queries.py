@@ -20,15 +20,15 @@ def g(spark):
         ("multi", "MATCH (x)-[e:R]->(y), (x)-[f:R]->(y) WHERE e <> f RETURN COUNT(*) AS n", [(2,)]),
         ("multi", "MATCH (x {id: 3}), (y:N) RETURN COUNT(*) AS n", [(4,)]),
         # labels
-        ("social", "MATCH (x:Person&!Student) RETURN x.name AS n", [("Alice",)]),
+        ("social", "MATCH (x:Person&!Student) RETURN x.name AS n", [("Ada",)]),
         ("social", "MATCH (x:!Person) RETURN x.content AS c", [("hi",)]),
-        ("social", "MATCH (a)~[:Knows]~(b) RETURN a.name AS a, b.name AS b", [("Alice", "Bob"), ("Bob", "Alice")]),
-        ("social", "MATCH (x) WHERE x.status = 'active' RETURN x.name AS n", [("Alice",)]),
-        ("social", "MATCH (x) WHERE x.status IS INTEGER RETURN x.name AS n", [("Bob",)]),
+        ("social", "MATCH (a)~[:Knows]~(b) RETURN a.name AS a, b.name AS b", [("Ada", "Ben"), ("Ben", "Ada")]),
+        ("social", "MATCH (x) WHERE x.status = 'active' RETURN x.name AS n", [("Ada",)]),
+        ("social", "MATCH (x) WHERE x.status IS INTEGER RETURN x.name AS n", [("Ben",)]),
         ("social", "MATCH (x {status bool}) RETURN x.content AS c", [("hi",)]),
         ("social", "MATCH (x:Nothing) RETURN COUNT(*) AS n", [(0,)]),
         # named paths, modes and searches
-        ("fraud", "MATCH p = TRAIL (x {owner: 'Jay'})-[t:Transfer]->+(x) RETURN PATH_LENGTH(p) AS l, SUM(t.amount) AS a", [(4, 11000000)]),
+        ("fraud", "MATCH p = TRAIL (x {owner: 'Jon'})-[t:Transfer]->+(x) RETURN PATH_LENGTH(p) AS l, SUM(t.amount) AS a", [(4, 11000000)]),
         ("triangle", "MATCH TRAIL (a {name: 'X'})-[:R]->*(b) RETURN b.name AS b", [("X",), ("X",), ("Y",), ("Z",)]),
         ("triangle", "MATCH SIMPLE (a {name: 'X'})-[:R]->*(b) RETURN b.name AS b", [("X",), ("X",), ("Y",), ("Z",)]),
         ("triangle", "MATCH ACYCLIC (a {name: 'X'})-[:R]->*(b) RETURN b.name AS b", [("X",), ("Y",), ("Z",)]),

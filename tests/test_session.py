@@ -49,9 +49,9 @@ def test_delete_and_rollback_to_the_last_save(spark, tmp_path):
     s.save(str(tmp_path / "g"))
     s.execute("INSERT (:Account {owner: 'New'})")
     with pytest.raises(GqlError, match="G1001"):
-        s.execute("MATCH (x:Account {owner: 'Jay'}) DELETE x")
+        s.execute("MATCH (x:Account {owner: 'Jon'}) DELETE x")
     assert rows(s, "MATCH (x:Account {owner: 'New'}) RETURN COUNT(*) AS n") == [(0,)]
-    s.execute("MATCH (x:Account {owner: 'Jay'}) DETACH DELETE x")
+    s.execute("MATCH (x:Account {owner: 'Jon'}) DETACH DELETE x")
     assert (s.node_count, s.edge_count) == (4, 3)
     s.execute("MATCH ()-[t:Foo]->() DELETE t")
     assert (s.node_count, s.edge_count) == (4, 2)
@@ -120,7 +120,7 @@ def test_names_of_csv_files():
 
 
 def test_ldbc(spark, tmp_path):
-    (tmp_path / "person_0_0.csv").write_text("id|firstName|birthday\n1|Ann|5\n2|Bob|6\n")
+    (tmp_path / "person_0_0.csv").write_text("id|firstName|birthday\n1|Ann|5\n2|Ben|6\n")
     (tmp_path / "place_0_0.csv").write_text("id|name|type\n7|Oslo|city\n8|Norway|country\n")
     (tmp_path / "person_knows_person_0_0.csv").write_text("Person.id|Person.id|creationDate\n1|2|99\n")
     (tmp_path / "person_isLocatedIn_place_0_0.csv").write_text("Person.id|Place.id\n1|7\n")

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from loomgraph import workload
+from loomgraph.operators import paths
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -49,6 +50,30 @@ def test_a_node_that_adds_nothing_is_not_scanned(spark, sf):
 
 
 @pytest.mark.parametrize(("name", "column", "table", "key"), [("value_argmax", "c", "customer", "c_custkey"), ("optional_correlated", "c", "customer", "c_custkey"), ("shortest_len", "a", "nation", "n_nationkey"), ("shortest_k_groups", "b", "nation", "n_nationkey"), ("shortest_k_paths", "b", "nation", "n_nationkey"), ("cartesian", "n", "nation", "n_name")])
-def test_bound_queries_have_one_over_all_keys(spark, sf, name, column, table, key):
-    got = workload.QUERIES[f"{name}_whole"](spark, sf).select(column).distinct()
+def test_queries_go_over_all_keys(spark, sf, name, column, table, key):
+    got = workload.QUERIES[name](spark, sf).select(column).distinct()
     assert {r[0] for r in got.collect()} == {r[0] for r in spark.read.parquet(f"{sf}/{table}.parquet").select(key).collect()}
+
+
+@pytest.mark.parametrize(
+    ("text", "starts", "levels"),
+    [
+        ("MATCH p = ANY SHORTEST (a:Nation {key: 0})-[:ROUTE]->+(b:Nation {key: 5}) RETURN PATH_LENGTH(p) AS n", 1, 3),
+        ("MATCH p = ANY SHORTEST (a:Nation)-[:ROUTE]->+(b:Nation) WHERE a.key = 0 AND b.key = 5 RETURN PATH_LENGTH(p) AS n", 1, 3),
+        ("MATCH p = ALL SHORTEST (a:Nation)-[:ROUTE]->+(b:Nation) WHERE a.key < 2 AND b.key = 3 RETURN PATH_LENGTH(p) AS n", 2, 2),
+        ("MATCH p = ANY SHORTEST (a:Nation)-[:ROUTE]->{1,2}(b:Nation) WHERE b.key = 3 RETURN PATH_LENGTH(p) AS n", 25, 2),
+    ],
+)
+def test_searches_start_from_fixed_ends_and_stop(spark, sf, monkeypatch, text, starts, levels):
+    made = []
+    keep = paths.written
+    monkeypatch.setattr(paths, "written", lambda df, label="graph": made.append((label, out := keep(df, label))) or out)
+    lengths = [r.n for r in workload._query(text)(spark, sf).collect()]
+    assert lengths and max(lengths) <= levels
+    sizes = {}
+    for label, df in made:
+        sizes.setdefault(label, []).append(df.count())
+    assert sizes["starts"] == [starts]
+    assert len([n for n in sizes["level"] if n]) <= levels
+    if starts == 25:  # on the way back from the one end
+        assert sizes["level"][0] == 2 and sum(sizes["level"]) <= 6
