@@ -18,7 +18,7 @@ from loomgraph import workload
 HEADLINE = [
     "cyclic_local_supplier", "label_scan_count", "node_scan_filter", "one_hop_count", "two_hop_count", "chain_2hop", "chain_star_join", "path_union_bag", "optional_match",
     "exists_semi", "not_exists_anti", "value_argmax", "group_agg_all", "order_nulls_topk", "repeat_bounded", "trail_paths", "shortest_len", "triangle_count", "nearest_topk",
-    "nearest_per_anchor",
+    "nearest_per_anchor", "shortest_pinned",
 ]
 
 

@@ -198,7 +198,8 @@ def _searched(planner, left: Rel, laps: DataFrame, groups: dict[str, VarInfo], p
     the edges' ids in the path's own direction, whichever way the search goes.
     """
     names = _names(groups)
-    laps = written(laps, "laps")
+    if least_edges(p.inner) > 1:  # a single edge is read from its table at each level
+        laps = written(laps, "laps")
     left_df = written(left.df, "starts")
     ends = None if ends is None else written(ends.filter(F.col("__end").isNotNull()).distinct(), "ends")
     kept_type = planner.path_type()
