@@ -46,7 +46,7 @@ BROADCAST_ROWS = 500_000
 LONG_ROW = 1024
 #: Members of a group that a cell holds, and classes that ask it there, about.
 PART = 256
-ASKING = 1024
+ASKING = 128
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
