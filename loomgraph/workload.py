@@ -177,8 +177,8 @@ _add(
 )
 _add(
     "scalar_angles",
-    "MATCH (c:Customer) RETURN c.key AS k, ROUND(SIN(c.acctbal) * 1000000) AS s, ROUND(COS(c.acctbal) * 1000000) AS co, ROUND(TAN(RADIANS(c.key)) * 1000) AS t, ROUND(DEGREES(c.acctbal / 1000) * 1000) AS d, ROUND(EXP(c.acctbal / 10000) * 1000000) AS e, ROUND(LOG(2, c.key) * 1000000) AS l, -c.key AS neg",
-    "SELECT c_custkey AS k, round(sin(c_acctbal) * 1000000) AS s, round(cos(c_acctbal) * 1000000) AS co, round(tan(radians(c_custkey)) * 1000) AS t, round(degrees(c_acctbal / 1000) * 1000) AS d, round(exp(c_acctbal / 10000) * 1000000) AS e, CASE WHEN c_custkey > 0 THEN round(ln(c_custkey) / ln(2) * 1000000) END AS l, -c_custkey AS neg FROM customer",
+    "MATCH (c:Customer) RETURN c.key AS k, ROUND(SIN(c.acctbal) * 1000000) AS s, ROUND(COS(c.acctbal) * 1000000) AS co, ROUND(TAN(c.acctbal / 10000) * 1000000) AS t, ROUND(RADIANS(c.key) * 1000000) AS r, ROUND(DEGREES(c.acctbal / 1000) * 1000) AS d, ROUND(EXP(c.acctbal / 10000) * 1000000) AS e, ROUND(LOG(2, c.key) * 1000000) AS l, -c.key AS neg",
+    "SELECT c_custkey AS k, round(sin(c_acctbal) * 1000000) AS s, round(cos(c_acctbal) * 1000000) AS co, round(tan(c_acctbal / 10000) * 1000000) AS t, round(radians(c_custkey) * 1000000) AS r, round(degrees(c_acctbal / 1000) * 1000) AS d, round(exp(c_acctbal / 10000) * 1000000) AS e, CASE WHEN c_custkey > 0 THEN round(ln(c_custkey) / ln(2) * 1000000) END AS l, -c_custkey AS neg FROM customer",
 )
 _add("date_compare", "MATCH (o:Order) WHERE DATE('1996-02-29') > DATE('1996-02-28') AND o.orderdate < LOCAL_DATETIME('1992-03-01T00:00:00') RETURN o.key AS k", "SELECT o_orderkey AS k FROM orders WHERE o_orderdate < TIMESTAMP '1992-03-01'")
 _add("cosine_topk", "MATCH (v:Vec), (w:Vec {key: 5}) NEAREST 10 v.emb_cos TO VECTOR(w, 'emb_cos') AS d RETURN v.key AS k, ROUND(d * 100000) AS d", "WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 5), d AS (SELECT vec_id, 1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT e FROM q)) AS d FROM embeddings) SELECT vec_id::BIGINT AS k, round(d * 100000) AS d FROM d ORDER BY d.d, vec_id LIMIT 10")
