@@ -229,20 +229,22 @@ def graph_from_ldbc(spark: SparkSession, folder: str) -> PropertyGraph:
     and person_email_emailaddress_0_0.csv (lists of values); a ``type`` column gives a second label."""
     files = [r[0] for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(folder).select("path").collect()]
     read = lambda path: spark.read.csv(path, header=True, sep="|")
-    stems = {f: re.sub(r"(_\d+)+$", "", PurePosixPath(f).stem).split("_") for f in files}
-    types = {s[0] for s in stems.values() if len(s) == 1}
+    stems: dict[tuple[str, ...], list[str]] = {}  # the files that hold one kind of rows, read together
+    for f in sorted(files):
+        stems.setdefault(tuple(re.sub(r"(_\d+)+$", "", PurePosixPath(f).stem).split("_")), []).append(f)
+    types = {s[0] for s in stems if len(s) == 1}
     nodes: list[tuple[str, str, DataFrame]] = []
     edges: list[tuple[str, DataFrame, bool]] = []
     key = lambda t, c: F.concat(F.lit(f"{t}:"), c)
     capital = lambda t: t[:1].upper() + t[1:]
     lists: dict[str, list[tuple[str, DataFrame]]] = {}
-    for f, s in stems.items():
+    for s, f in stems.items():
         if len(s) == 3 and s[2] not in types:
             df = read(f)
             a, b = df.columns[:2]
             values = df.select(key(s[0], F.col(f"`{a}`")).alias(NAME), F.col(f"`{b}`").alias("v")).groupBy(NAME).agg(F.array_sort(F.collect_list("v")).alias(s[1]))
             lists.setdefault(s[0], []).append((s[1], values))
-    for f, s in sorted(stems.items()):
+    for s, f in sorted(stems.items()):
         if len(s) == 1:
             df = read(f)
             names = [c for c in df.columns if c != "type"]

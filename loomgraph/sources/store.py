@@ -29,6 +29,20 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n.removeprefix("whole-")) for n in names if n.startswith("whole-"))
 
 
+def _indexed(t: NodeTable | EdgeTable, indexes: list[tuple[str, str, str]]):
+    """The table's writer: by ranges of the first property with a sorted index, so that files and row
+    groups hold few values of it (the id parts a value that many rows share); with Bloom filters for
+    properties with a hash index. Conditions on them then skip what can't match."""
+    mine = [(prop, kind) for label, prop, kind in indexes if label in t.labels and prop in t.props]
+    df = t.df
+    ranges = next((prop for prop, kind in mine if kind == "BTREE"), None)
+    if ranges is not None:
+        order = [F.col(f"`{ranges}`"), F.col(ID if ID in df.columns else EID)]
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    hashed = [prop for prop, kind in mine if kind == "HASH"]
+    return df.write.options(**{f"parquet.bloom.filter.enabled#{prop}": "true" for prop in hashed})
+
+
 def save_graph(g: PropertyGraph, path: str, catalog: dict | None = None) -> None:
     """Writes every table to a new version's folder and at last a file that says the version is whole, so
     that a graph is there whole at any time: a save that breaks off leaves the version before it."""
@@ -39,11 +53,12 @@ def save_graph(g: PropertyGraph, path: str, catalog: dict | None = None) -> None
     fs, folder = _fs(spark, fresh)
     fs.delete(folder, True)  # of a save that broke off
     meta: dict = {"format": FORMAT, "codes": g.codes, "nodes": [], "edges": [], "vectors": [], "catalog": catalog or {}}
+    indexes = [tuple(x) for _, x in sorted((catalog or {}).get("indexes", {}).items())]
     for k, t in enumerate(g.nodes):
-        t.df.write.parquet(f"{fresh}/nodes/{k}")
+        _indexed(t, indexes).parquet(f"{fresh}/nodes/{k}")
         meta["nodes"].append({"name": t.name, "labels": sorted(t.labels)})
     for k, t in enumerate(g.edges):
-        t.df.write.parquet(f"{fresh}/edges/{k}")
+        _indexed(t, indexes).parquet(f"{fresh}/edges/{k}")
         meta["edges"].append({"name": t.name, "labels": sorted(t.labels), "directed": t.directed, "src": sorted(t.src) if t.src else None, "dst": sorted(t.dst) if t.dst else None})
     for k, (attr, (df, dim, metric)) in enumerate(sorted(g.vectors.items())):
         df.write.parquet(f"{fresh}/vectors/{k}")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .session import GraphSession
 from .sources.relational import commerce_graph
 from .sparql import Mapping
+from .workload_formats import FORMATS
 
 #: name -> (GQL, SQL)
 GQL: dict[str, tuple[str, str]] = {}
@@ -183,6 +184,13 @@ _add(
 _add("date_compare", "MATCH (o:Order) WHERE DATE('1996-02-29') > DATE('1996-02-28') AND o.orderdate < LOCAL_DATETIME('1992-03-01T00:00:00') RETURN o.key AS k", "SELECT o_orderkey AS k FROM orders WHERE o_orderdate < TIMESTAMP '1992-03-01'")
 _add("cosine_topk", "MATCH (v:Vec), (w:Vec {key: 5}) NEAREST 10 v.emb_cos TO VECTOR(w, 'emb_cos') AS d RETURN v.key AS k, ROUND(d * 100000) AS d", "WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 5), d AS (SELECT vec_id, 1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT e FROM q)) AS d FROM embeddings) SELECT vec_id::BIGINT AS k, round(d * 100000) AS d FROM d ORDER BY d.d, vec_id LIMIT 10")
 _add("inner_product_topk", "MATCH (v:Vec), (w:Vec {key: 5}) NEAREST 10 v.emb_ip TO VECTOR(w, 'emb_ip') AS d RETURN v.key AS k, ROUND(d * 100000) AS d", "WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 5), d AS (SELECT vec_id, -list_inner_product(embedding::DOUBLE[], (SELECT e FROM q)) AS d FROM embeddings) SELECT vec_id::BIGINT AS k, round(d * 100000) AS d FROM d ORDER BY d.d, vec_id LIMIT 10")
+_add("zero_laps", "MATCH (a:Nation)-[:ROUTE]->{0,1}(b:Nation) RETURN a.key AS a, b.key AS b", f"SELECT n_nationkey::BIGINT AS a, n_nationkey::BIGINT AS b FROM nation UNION ALL SELECT a, b FROM {_ROUTE}")
+_add("exists_uncorrelated", "MATCH (r:Region) WHERE EXISTS { MATCH (o:Order) WHERE o.totalprice > 400000 } AND NOT EXISTS { MATCH (o:Order) WHERE o.totalprice < 0 } RETURN r.name AS r", "SELECT r_name AS r FROM region WHERE EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 400000) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_totalprice < 0)")
+_add("record_fields", "MATCH (r:Region)<-[:IN_REGION]-(n:Nation) RETURN r.name AS r, CARDINALITY([x IN COLLECT_LIST(RECORD {k: n.key, s: n.name}) WHERE x.k > 10 | x.s]) AS big GROUP BY r", "SELECT r_name AS r, count(*) FILTER (n_nationkey > 10) AS big FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name")
+_add("value_as_type", "MATCH (x:Region|Nation|Vec) RETURN x.key AS k, (x.name AS STRING) AS s, (x.key AS INTEGER) AS i, (x.name AS INTEGER) IS NULL AS no", "SELECT r_regionkey::BIGINT AS k, r_name AS s, r_regionkey::BIGINT AS i, true AS no FROM region UNION ALL SELECT n_nationkey, n_name, n_nationkey, true FROM nation UNION ALL SELECT vec_id, NULL, vec_id, true FROM embeddings")
+_add("comments", "MATCH (c:Customer) /* every\n one */ WHERE c.acctbal > 9000 -- rich\n RETURN c.key AS c ORDER BY c LIMIT 40", "SELECT c_custkey AS c FROM customer WHERE c_acctbal > 9000 ORDER BY c_custkey LIMIT 40")
+_add("nearest_rows", "MATCH (v:Vec {label: 3}), (r:Region), (w:Vec {key: 5}) NEAREST 12 ROWS v.emb TO VECTOR(w, 'emb') RETURN v.key AS k, COUNT(*) AS n GROUP BY v", f"SELECT k, count(*) AS n FROM (SELECT vec_id::BIGINT AS k FROM embeddings, region WHERE label = 3 ORDER BY {_VEC}, vec_id LIMIT 12) GROUP BY k")
+_add("nearest_then_limit", "MATCH (v:Vec), (w:Vec {key: 5}) NEAREST 10 v.emb TO VECTOR(w, 'emb') AS d RETURN v.key AS k ORDER BY d DESC, k LIMIT 3", f"SELECT k FROM (SELECT vec_id::BIGINT AS k, {_VEC} AS d FROM embeddings ORDER BY d, vec_id LIMIT 10) ORDER BY d DESC, k LIMIT 3")
 
 
 #: name -> (statements, final query, SQL of the state after them)
@@ -252,3 +260,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(gql
 ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in GQL.items()}
 QUERIES |= {name: _changed(statements, final) for name, (statements, final, _) in CHANGES.items()} | {name: _sparql(text) for name, (text, _) in SPARQL.items()}
 ORACLE_SQL |= {name: sql for name, (_, _, sql) in CHANGES.items()} | {name: sql for name, (_, sql) in SPARQL.items()}
+QUERIES |= {name: query for name, (query, _) in FORMATS.items()}
+ORACLE_SQL |= {name: sql for name, (_, sql) in FORMATS.items()}
