@@ -57,6 +57,7 @@ class PropertyGraph:
     edges: list[EdgeTable] = field(default_factory=list)
     vectors: dict[str, tuple[DataFrame, int, str]] = field(default_factory=dict)  # attr -> (df(__id, vector), dim, metric)
     codes: int = 0
+    cells: dict[str, object] = field(default_factory=dict)  # attr -> its approximate index (operators/vector_index.py)
 
     def next_code(self) -> int:
         self.codes += 1
@@ -66,7 +67,7 @@ class PropertyGraph:
         return next(t for t in self.nodes if t.name == name)
 
     def copy(self) -> PropertyGraph:
-        return PropertyGraph(self.spark, list(self.nodes), list(self.edges), dict(self.vectors), self.codes)
+        return PropertyGraph(self.spark, list(self.nodes), list(self.edges), dict(self.vectors), self.codes, dict(self.cells))
 
     def node_count(self) -> int:
         return sum(t.df.count() for t in self.nodes)

@@ -28,7 +28,8 @@ def nearest(planner, r: Rel, n: Nearest) -> Rel:
     """The rows of the k nearest bindings of the variable (ROWS: the k nearest rows), nearest first.
 
     Each distinct binding is measured once. A target that reads another variable's vector ranks once
-    for each binding of it. Ties go by id. An attribute without vectors, other dimensions and k = 0
+    for each binding of it. An attribute with an approximate index is searched in the cells near a target
+    list or near the vector of the only anchor. Ties go by id. An attribute without vectors, other dimensions and k = 0
     give no rows.
     """
     info = r.vars.get(n.var)
@@ -46,7 +47,17 @@ def nearest(planner, r: Rel, n: Nearest) -> Rel:
     if stored is None or n.k == 0:
         return nothing()
     vectors, dim, metric = stored
-    own = vectors.select(F.col(ID).alias(n.var), F.col("vector").alias("__v"))
+    whole = vectors.filter(F.size("vector") == dim)
+    own = whole.select(F.col(ID).alias(n.var), F.col("vector").alias("__v"))
+    index = planner.graph.cells.get(n.attr)
+
+    def close(target: list[float]):
+        """``own``, or of an approximate index the rows of the cells near the target."""
+        if index is None:
+            return own
+        found = index.near(target, n.k, r.df.select(col(n.var).alias(ID)).distinct())
+        return found.select(F.col(ID).alias(n.var), F.col("vector").alias("__v"))
+
     if isinstance(n.target, ListLit):
         values = [x.value for x in n.target.items if isinstance(x, Lit) and type(x.value) in (int, float)]
         if len(values) != len(n.target.items):
@@ -54,7 +65,7 @@ def nearest(planner, r: Rel, n: Nearest) -> Rel:
         if len(values) != dim:
             return nothing()
         target = F.array(*[F.lit(float(x)) for x in values])
-        found = r.df.select(col(n.var)).distinct().join(own, n.var).withColumn(alias, distance(F.col("__v"), target, metric)).drop("__v")
+        found = r.df.select(col(n.var)).distinct().join(close([float(x) for x in values]), n.var).withColumn(alias, distance(F.col("__v"), target, metric)).drop("__v")
         if n.rows:
             df = r.df.join(found, n.var).orderBy(col(alias), col(n.var)).limit(n.k)
         else:
@@ -68,7 +79,11 @@ def nearest(planner, r: Rel, n: Nearest) -> Rel:
         raise GqlError(f"variable {anchor} is not bound")
     if other is None or other[1] != dim:
         return nothing()
-    theirs = other[0].select(F.col(ID).alias(anchor), F.col("vector").alias("__w"))
+    theirs = other[0].filter(F.size("vector") == dim).select(F.col(ID).alias(anchor), F.col("vector").alias("__w"))
+    if index is not None and anchor != n.var:
+        fixed = r.df.select(col(anchor)).distinct().join(theirs, anchor).limit(2).collect()
+        if len(fixed) == 1:  # one anchor: the cells near it; several are ranked exactly
+            own = close(fixed[0]["__w"])
     pairs = r.df.select(col(anchor), col(n.var)).distinct() if anchor != n.var else r.df.select(col(anchor)).distinct()
     found = pairs.join(own, n.var).join(theirs, anchor).withColumn(alias, distance(F.col("__v"), F.col("__w"), metric)).drop("__v", "__w")
     keys = sorted({anchor, n.var})

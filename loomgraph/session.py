@@ -14,6 +14,7 @@ from .graph import DST, EID, ID, SRC, PropertyGraph
 from .lang.lexer import GqlError
 from .lang.parser import parse
 from .lang.tree import Change, Ddl, Query
+from .operators.vector_index import build_cells
 from .plans.query import Planned, plan_query
 from .sources import files, store
 
@@ -198,6 +199,18 @@ class GraphSession:
     def edge(self, edge_id: int) -> DataFrame:
         return store._elements(self.graph.edges, [EID, SRC, DST], lambda t: [F.lit(t.directed).alias("directed")]).filter(F.col(EID) == edge_id)
 
+    def index_vectors(self, attr: str, cells: int | None = None, probes: int | None = None) -> None:
+        """Makes NEAREST on the attribute approximate: a search opens ``probes`` of ``cells`` cells, and more
+        only where these hold too few of the matched nodes."""
+        if attr not in self.graph.vectors:
+            raise GqlError(f"there are no vectors {attr}")
+        found = build_cells(*self.graph.vectors[attr], cells, probes)
+        if found is not None:
+            self.graph.cells[attr] = found
+
+    def drop_vector_index(self, attr: str) -> None:
+        self.graph.cells.pop(attr, None)
+
     def to_json(self) -> str:
         return store.dump_json(self.graph)
 

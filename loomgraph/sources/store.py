@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..graph import DST, EID, ID, SRC, EdgeTable, NodeTable, PropertyGraph, is_mixed
 from ..lang.lexer import GqlError
+from ..operators.vector_index import CELL, VectorCells
 
 FORMAT = 2
 
@@ -63,6 +65,11 @@ def save_graph(g: PropertyGraph, path: str, catalog: dict | None = None) -> None
     for k, (attr, (df, dim, metric)) in enumerate(sorted(g.vectors.items())):
         df.write.parquet(f"{fresh}/vectors/{k}")
         meta["vectors"].append({"attr": attr, "dim": dim, "metric": metric})
+        if attr in g.cells:
+            cells = g.cells[attr]
+            order = [F.col(CELL), F.col(ID)]
+            cells.rows.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{fresh}/cells/{k}")
+            meta["vectors"][-1]["cells"] = {"centres": cells.centres.tolist(), "probes": cells.probes}
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{fresh}/meta")
     fs.create(_fs(spark, f"{path}/whole-{version}")[1]).close()
     for old in before:
@@ -87,6 +94,8 @@ def open_graph(spark: SparkSession, path: str) -> tuple[PropertyGraph, dict]:
         g.edges.append(EdgeTable(t["name"], frozenset(t["labels"]), spark.read.parquet(f"{path}/edges/{k}"), t["directed"], names(t["src"]), names(t["dst"])))
     for k, v in enumerate(meta["vectors"]):
         g.vectors[v["attr"]] = (spark.read.parquet(f"{path}/vectors/{k}"), v["dim"], v["metric"])
+        if "cells" in v:
+            g.cells[v["attr"]] = VectorCells(spark.read.parquet(f"{path}/cells/{k}"), np.array(v["cells"]["centres"]), v["metric"], v["cells"]["probes"])
     return g, meta["catalog"]
 
 

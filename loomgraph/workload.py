@@ -262,3 +262,13 @@ QUERIES |= {name: _changed(statements, final) for name, (statements, final, _) i
 ORACLE_SQL |= {name: sql for name, (_, _, sql) in CHANGES.items()} | {name: sql for name, (_, sql) in SPARQL.items()}
 QUERIES |= {name: query for name, (query, _) in FORMATS.items()}
 ORACLE_SQL |= {name: sql for name, (_, sql) in FORMATS.items()}
+
+
+def nearest_approximate(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest vectors by way of an approximate index; SQL gives the exact ones, so there is none."""
+    session = GraphSession(spark, commerce_graph(spark, folder))
+    session.index_vectors("emb")
+    return session.execute("MATCH (v:Vec), (w:Vec {key: 5}) NEAREST 10 v.emb TO VECTOR(w, 'emb') AS d RETURN v.key AS k, d AS d")
+
+
+QUERIES["nearest_approximate"] = nearest_approximate

@@ -27,7 +27,7 @@ def plain(v):
     return v
 
 
-@pytest.mark.parametrize("name", sorted(workload.QUERIES))
+@pytest.mark.parametrize("name", sorted(workload.ORACLE_SQL))
 def test_against_sql(spark, sf, db, name):
     df = workload.QUERIES[name](spark, sf)
     want = db.sql(workload.ORACLE_SQL[name])
@@ -37,6 +37,16 @@ def test_against_sql(spark, sf, db, name):
     assert sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr) == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=repr)
 
 
+def test_queries_without_sql():
+    assert set(workload.QUERIES) - set(workload.ORACLE_SQL) == {"nearest_approximate"}
+
+
+def test_the_approximate_search_finds_the_nearest(spark, sf, db):
+    got = [r.k for r in workload.QUERIES["nearest_approximate"](spark, sf).collect()]
+    exact = {r[0] for r in db.sql(workload.ORACLE_SQL["nearest_topk"]).project("k").fetchall()}
+    assert got[0] == 5 and len(set(got)) == 10 and len(exact & set(got)) >= 8
+
+
 def test_properties_are_read_late_and_filters_reach_the_scan(spark, sf):
     df = workload.QUERIES["prop_map_filter"](spark, sf)
     text = df._jdf.queryExecution().executedPlan().toString()
