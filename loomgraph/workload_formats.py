@@ -77,7 +77,7 @@ def gql_dump_replay(spark: SparkSession, folder: str) -> DataFrame:
     return g.execute("MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN n.name AS n, r.name AS r, n.key * 10 AS k")
 
 
-@_add("csv_import", "SELECT n_name AS n, c_mktsegment AS s, count(*) AS customers, round(sum(c_acctbal)) AS total FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY n_nationkey, n_name, c_mktsegment")
+@_add("csv_import", "SELECT n_name AS n, c_mktsegment AS s, count(*) AS customers, sum(round(c_acctbal * 100)::BIGINT)::BIGINT AS cents FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY n_nationkey, n_name, c_mktsegment")
 def csv_import(spark: SparkSession, folder: str) -> DataFrame:
     """CSV files with a configuration of their columns."""
     path = shared_folder(spark, "csv")
@@ -89,7 +89,7 @@ def csv_import(spark: SparkSession, folder: str) -> DataFrame:
     columns = {"Customer.csv": {"customer_id": "STRING", "segment": "STRING", "acctbal": "FLOAT64"}, "Nation.csv": {"vid": "STRING", "name": "STRING"}, "customer_lives_in_nation.csv": {"SRC_ID": "STRING", "DST_ID": "STRING"}}
     _text_file(spark, json.dumps({"files": [{"path": p, "columns": c} for p, c in columns.items()]}), f"{path}/spanner_import_config.json")
     g = GraphSession.import_csv(spark, path)
-    return g.execute("MATCH (c:Customer)-[:lives_in]->(n:Nation) RETURN n.name AS n, c.segment AS s, COUNT(*) AS customers, ROUND(SUM(c.acctbal)) AS total GROUP BY n, c.segment")
+    return g.execute("MATCH (c:Customer)-[:lives_in]->(n:Nation) RETURN n.name AS n, c.segment AS s, COUNT(*) AS customers, SUM(CAST(ROUND(c.acctbal * 100) AS INTEGER)) AS cents GROUP BY n, c.segment")
 
 
 @_add(
