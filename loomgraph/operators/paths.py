@@ -16,12 +16,15 @@ from pyspark.sql import types as T
 from ..graph import ID
 from ..lang.lexer import GqlError
 from ..lang.tree import Concat, EdgeP, FilterP, Join, Maybe, Named, NodeP, Pattern, Prefix, Repeat, Selected, UnionP
+from ..plans.pattern import Hop
 from ..plans.scope import Rel, VarInfo, col
-from ..storage import written
+from ..storage import remove, written
 
 MODES = ("TRAIL", "SIMPLE", "ACYCLIC")
 #: Levels whose used quotas are summed when they are asked for; after so many, the sum is written.
 SEEN_PARTS = 6
+#: Reached nodes that are sent to all workers to pick their edges, instead of a shuffle of the edge table.
+SENT_NODES = 1 << 20
 
 
 def least_edges(p: Pattern) -> int:
@@ -112,7 +115,9 @@ def repeated(planner, left: Rel, p: Repeat, prefix: Prefix, ends: DataFrame | No
     # with a search only the ends matter to the laps, whichever they are: search from each end once
     searching = prefix.search != "ALL" and prefix.mode == "WALK"
     if searching and (p.high is None or p.high > 1):
-        return _searched(planner, left, laps, groups, p, prefix, ends, ends is not None and not fixed)
+        back = ends is not None and not fixed
+        hops = planner.hops(p.inner, back) if least_edges(p.inner) > 1 else None
+        return _searched(planner, left, laps, groups, p, prefix, ends, back, hops)
     if p.high is None:
         return _pruned(planner, left, laps, groups, p, prefix.mode)
     return _bounded(planner, left, laps, groups, p, prefix.mode)
@@ -137,6 +142,23 @@ def _extended(df: DataFrame, last: str, path: str, laps: DataFrame, names: list[
     return j.select(*cols, F.col(to).alias(last), grown.alias(path))
 
 
+def _along(planner, df: DataFrame, hop: Hop, back: bool, bare: bool) -> DataFrame:
+    """The frontier one edge further; elements of paths (``bare``: ids) are made behind the join. Reached nodes pick
+    their edges first, where they are few enough to be sent to all workers."""
+    own = [n for v in hop.rel.vars if not v.startswith("__") for n in hop.rel.columns_of(v)]
+    used = dict.fromkeys([hop.near, hop.edge, hop.far, *(n for v in hop.rel.vars for n in hop.rel.columns_of(v))])
+    step = hop.rel.df.select(*[col(n).alias(f"__hop {n}") for n in used])
+    near = f"__hop {hop.near}"
+    nodes = df.select(F.col("__b").alias(near)).distinct()
+    if df.count() <= SENT_NODES or nodes.count() <= SENT_NODES:
+        step = step.join(F.broadcast(nodes), near, "left_semi")
+    parts = [col(f"__hop {v}") if bare else planner.path_element(kind, v, hop.rel.vars[v], "__hop ") for kind, v in (("e", hop.edge), ("n", hop.far))]
+    way = F.concat(F.array(*reversed(parts)), F.col("__way")) if back else F.concat(F.col("__way"), F.array(*parts))
+    lists = {n: F.concat(F.array(col(f"__hop {n}")), col(n)) if back else F.concat(col(n), F.array(col(f"__hop {n}"))) for n in own}
+    kept = [lists[c].alias(c) if c in lists else col(c) for c in df.columns if c not in ("__b", "__way")]
+    return df.join(step, F.col("__b") == col(near)).select(*kept, col(f"__hop {hop.far}").alias("__b"), way.alias("__way"))
+
+
 def _names(groups: dict[str, VarInfo]) -> list[str]:
     return [n for v, x in groups.items() for n in [v, *(f"{v}${a}" for a, _ in x.attrs)]]
 
@@ -188,7 +210,7 @@ def _pruned(planner, left: Rel, laps: DataFrame, groups: dict[str, VarInfo], p:
     return Rel(out, {**left.vars, **groups}, left.first, left.last, left.path)
 
 
-def _searched(planner, left: Rel, laps: DataFrame, groups: dict[str, VarInfo], p: Repeat, prefix: Prefix, ends: DataFrame | None, back: bool) -> Rel:
+def _searched(planner, left: Rel, laps: DataFrame, groups: dict[str, VarInfo], p: Repeat, prefix: Prefix, ends: DataFrame | None, back: bool, hops: list[Hop] | None) -> Rel:
     """Laps step by step from each distinct start, or ``back`` from each end where only ends are fixed.
 
     A pair of start and reached node that has its quota is not extended: the quota is of paths (ANY,
@@ -196,9 +218,14 @@ def _searched(planner, left: Rel, laps: DataFrame, groups: dict[str, VarInfo], p
     is dropped could not have led to a kept path. Steps below the lower bound keep a quota of their own
     each. With known ends, a start whose pairs with all of them have their quota is done. Ties go by
     the edges' ids in the path's own direction, whichever way the search goes.
+
+    A single edge is read from its table at each level. A chain of edges is gone along edge by edge
+    (``hops``), so that only edges at reached nodes are moved and its laps, which are many more than the
+    edges, are never all made; the quota holds at each node in between, as all laps are equally long and
+    nothing behind a node depends on how it was reached. Other laps are written once.
     """
     names = _names(groups)
-    if least_edges(p.inner) > 1:  # a single edge is read from its table at each level
+    if hops is None and least_edges(p.inner) > 1:
         laps = written(laps, "laps")
     left_df = written(left.df, "starts")
     ends = None if ends is None else written(ends.filter(F.col("__end").isNotNull()).distinct(), "ends")
@@ -206,7 +233,8 @@ def _searched(planner, left: Rel, laps: DataFrame, groups: dict[str, VarInfo], p
     firsts = left_df.select(col(left.last).alias("__a")).distinct().filter(F.col("__a").isNotNull())
     start = ends.select(F.col("__end").alias("__a")) if back else firsts
     wanted = 0 if ends is None or back else ends.count()
-    empty_path = F.array(F.struct(F.lit("n").alias("__kind"), F.col("__a").alias("__id"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in kept_type.fields[2:]]))
+    bare = hops is not None and len(kept_type.fields) == 2  # ways are ids, of nodes and edges in turn
+    empty_path = F.array(F.col("__a")) if bare else F.array(F.struct(F.lit("n").alias("__kind"), F.col("__a").alias("__id"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in kept_type.fields[2:]]))
     now = start.withColumns({"__b": F.col("__a"), "__way": empty_path})
     types = dict((f.name, f.dataType) for f in laps.schema)
     now = now.withColumns({n: F.array().cast(types[n]) for n in names})
@@ -224,8 +252,21 @@ def _searched(planner, left: Rel, laps: DataFrame, groups: dict[str, VarInfo], p
             df = df.withColumn("__used", F.lit(0))
         if groups_wanted:
             return df.filter(F.col("__used") < prefix.count)
-        rank = F.row_number().over(Window.partitionBy("__a", "__b").orderBy(_ids(F.col("__way"), "e")))
-        return df.withColumn("__rank", rank).filter(F.col("__rank") + F.col("__used") <= prefix.count).drop("__rank")
+        return best(df, F.col("__used"))
+
+    def best(df: DataFrame, used: Column) -> DataFrame:
+        edges = F.filter("__way", lambda _, i: i % 2 == 1) if bare else _ids(F.col("__way"), "e")
+        rank = F.row_number().over(Window.partitionBy("__a", "__b").orderBy(edges))
+        return df.withColumn("__rank", rank).filter(F.col("__rank") + used <= prefix.count).drop("__rank")
+
+    def lap(df: DataFrame) -> DataFrame:
+        if hops is None:
+            return _extended(df, "__b", "__way", laps, names, back)
+        for i, hop in enumerate(hops):
+            if i:
+                df = written(df if groups_wanted or hops[i - 1].once else best(df, F.lit(0)), "hop", passing)
+            df = _along(planner, df, hop, back, bare)
+        return df
 
     def joined(parts: list[DataFrame]) -> DataFrame:
         return reduce(DataFrame.unionByName, parts)
@@ -250,13 +291,20 @@ def _searched(planner, left: Rel, laps: DataFrame, groups: dict[str, VarInfo], p
         return level.join(done.select("__a"), "__a", "left_anti")
 
     k = 0
+    passing: list[str] = []  # what is needed until a level is written
     if p.low == 0:
         levels.append(written(now, "level"))
         use(levels[-1])
     while p.high is None or k < p.high:
         k += 1
-        now = _extended(undone(now), "__b", "__way", laps, names, back)
-        now = written(quota(now, k >= p.low).drop("__used"), "level")
+        now = undone(now)
+        if hops is not None and wanted and seen:
+            now = written(now, "frontier", passing)
+            if now.isEmpty():
+                break
+        now = written(quota(lap(now), k >= p.low).drop("__used"), "level")
+        while passing:
+            remove(now.sparkSession, passing.pop())
         if now.isEmpty():
             break
         if k >= p.low:
@@ -269,6 +317,8 @@ def _searched(planner, left: Rel, laps: DataFrame, groups: dict[str, VarInfo], p
         found = found.select(F.col("__b").alias("__a"), F.col("__a").alias("__b"), "__way", *[col(n) for n in names])
     elif ends is not None:
         found = found.join(ends, F.col("__b") == F.col("__end"), "left_semi")
+    if bare:
+        found = found.withColumn("__way", F.transform("__way", lambda x, i: F.struct(F.when(i % 2 == 0, "n").otherwise("e").alias("__kind"), x.alias("__id"))))
     j = left_df.join(found.withColumnRenamed("__a", left.last), left.last)
     path = F.concat(col(left.path), F.slice(F.col("__way"), 2, F.greatest(F.size("__way") - 1, F.lit(0))))
     df = j.withColumn(left.path, path).drop(left.last, "__way").withColumnRenamed("__b", left.last)

@@ -62,6 +62,17 @@ class _Edge:
     tables: list[EdgeTable] = field(default_factory=list)
 
 
+@dataclass
+class Hop:
+    """One edge of a chain. ``rel`` has no path; ``once``: no two of its rows lead to the same node."""
+
+    rel: Rel
+    near: str
+    edge: str
+    far: str
+    once: bool
+
+
 class PatternPlanner:
     """Plans patterns over one graph; ``needs`` has the properties of each variable that are read."""
 
@@ -145,7 +156,8 @@ class PatternPlanner:
 
     # -- nodes and edges
 
-    def flat(self, operands: list[Pattern], want_path: bool = False) -> Rel:
+    def _elements(self, operands: list[Pattern], want_path: bool) -> tuple[dict[str, _Node], list[_Edge], list[Expr], list[str]]:
+        """Nodes and edges with the tables they can be in, conditions, and the elements of the last operand in order."""
         nodes: dict[str, _Node] = {}
         edges: list[_Edge] = []
         wheres: list[Expr] = []
@@ -196,6 +208,10 @@ class PatternPlanner:
             for e in edges:
                 self.needs.setdefault(e.var, set()).update(self.path_attrs)
         self._narrow(nodes, edges)
+        return nodes, edges, wheres, order
+
+    def flat(self, operands: list[Pattern], want_path: bool = False) -> Rel:
+        nodes, edges, wheres, order = self._elements(operands, want_path)
         read = {x.base.name for x in walk(wheres) if isinstance(x, Attr) and isinstance(x.base, Var)}
         rel = self._join(nodes, edges, wheres, frozenset() if want_path else self.bound - read)
         conditions = [Compiler(rel.vars).condition(w) for w in wheres if not has_subquery(w)]
@@ -208,6 +224,32 @@ class PatternPlanner:
                 rel = self.filtered(rel, w)
         return rel
 
+    def hops(self, p: Pattern, back: bool) -> list[Hop] | None:
+        """A chain edge by edge, for a search that goes on from its start (``back``: from its end)
+        and needs no more of it than what it reaches. A hop has the properties and conditions of its edge and of
+        the node that it leads to, the first one also those of the node before. None where a condition is on
+        several elements, or the pattern is no such chain."""
+        if not is_flat(p):
+            return None
+        nodes, edges, wheres, order = self._elements([p], True)
+        if len(set(order)) < len(order) or any(has_subquery(w) or len(free_vars(w)) > 1 for w in wheres):
+            return None
+        out: list[Hop] = []
+        warned = len(self.warnings)  # the whole chain was planned before and has warned
+        for e in reversed(edges) if back else edges:
+            near, far = (e.right, e.left) if back else (e.left, e.right)
+            own = {e.var, far} if out else {e.var, far, near}
+            tests = [w for w in wheres if free_vars(w) <= own and (free_vars(w) or not out)]
+            rel = self._join({x: nodes[x] for x in (e.left, e.right)}, [e], tests, frozenset({near} - own))
+            for w in tests:
+                rel.df = rel.df.filter(Compiler(rel.vars).condition(w))
+            rel.vars = {v: x for v, x in rel.vars.items() if v in own}
+            inline = e.tables[0].inline if len(e.tables) == 1 and e.dir in ("->", "<-") else None
+            at_right = inline is not None and (inline[0] == "dst") == (e.dir == "->")
+            out.append(Hop(rel, near, e.var, far, inline is not None and at_right != back))
+        del self.warnings[warned:]
+        return out
+
     def element_conditions(self, p: NodeP | EdgeP, var: str, wheres: list[Expr]) -> None:
         for key, e in p.values:
             self.needs.setdefault(var, set()).add(key)
@@ -363,16 +405,16 @@ class PatternPlanner:
             fields += [T.StructField(f"{v}${a}", t) for a, t in x.attrs]
         return self.spark.createDataFrame([], T.StructType(fields))
 
-    def _with_path(self, rel: Rel, order: list[str], nodes: dict[str, _Node]) -> Rel:
-        t = self.path_type()
-
-        def element(v: str):
-            have = dict(rel.vars[v].attrs)
-            extra = [(as_type(col(f"{v}${f.name}"), have[f.name], f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in t.fields[2:]]
-            return F.struct(F.lit("n" if v in nodes else "e").alias("__kind"), col(v).alias("__id"), *extra)
+    def path_element(self, kind: str, v: str, info: VarInfo, before: str = "") -> Column:
+        """A variable, whose columns have names that begin with ``before``, as an element of a path."""
+        have = dict(info.attrs)
+        extra = [(as_type(col(f"{before}{v}${f.name}"), have[f.name], f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in self.path_type().fields[2:]]
+        return F.struct(F.lit(kind).alias("__kind"), col(f"{before}{v}").alias("__id"), *extra)
 
+    def _with_path(self, rel: Rel, order: list[str], nodes: dict[str, _Node]) -> Rel:
         first, last, path = self.fresh("f"), self.fresh("l"), self.fresh("p")
-        df = rel.df.withColumns({first: col(order[0]), last: col(order[-1]), path: F.array(*[element(v) for v in order])})
+        elements = [self.path_element("n" if v in nodes else "e", v, rel.vars[v]) for v in order]
+        df = rel.df.withColumns({first: col(order[0]), last: col(order[-1]), path: F.array(*elements)})
         return Rel(df, rel.vars, first, last, path)
 
     # -- chains with quantifiers, unions and the like
@@ -562,4 +604,4 @@ def union(rels: list[Rel], planner: PatternPlanner) -> Rel:
     return Rel(reduce(DataFrame.unionByName, parts), variables, first, last, path)
 
 
-__all__ = ["PatternPlanner", "free_vars", "has_subquery", "is_flat", "joined_paths", "natural_join", "plain", "seeded", "union", "with_end_conditions"]
+__all__ = ["Hop", "PatternPlanner", "free_vars", "has_subquery", "is_flat", "joined_paths", "natural_join", "plain", "seeded", "union", "with_end_conditions"]

@@ -20,8 +20,16 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
-def written(df: DataFrame, label: str = "graph") -> DataFrame:
-    """``df`` as a Parquet table there: cuts lineage and survives lost executors."""
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that ``shared_folder`` named."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def written(df: DataFrame, label: str = "graph", named: list[str] | None = None) -> DataFrame:
+    """``df`` as a Parquet table there: cuts lineage and survives lost executors. Its path joins ``named``."""
     path = shared_folder(df.sparkSession, label)
+    if named is not None:
+        named.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
